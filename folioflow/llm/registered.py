@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL; one query for each operator."""
 
-from folioflow.llm import quality_rules
+from folioflow.llm import pii, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op4_pii": pii.query,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
