@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL; one query for each operator."""
 
-from folioflow.llm import pii, quality_rules
+from folioflow.llm import decontaminate, minhash, pii, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_minhash": minhash.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_pii": pii.query,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_minhash": minhash.SQL,
+    "op3_decontaminate": decontaminate.SQL,
 }
