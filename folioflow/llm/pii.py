@@ -7,7 +7,7 @@ are fitted on the driver from generated examples of fixed number and compiled in
 
 Defined cases: NULL counts as ''. Each row gives one row, repeated ones too. Only id and text are read, so other
 columns may have any names. Positions are code points, ends are exclusive. Patterns use possessive runs, so their
-time is linear in the text. An added span that overlaps a base span, or an earlier added one of its kind, is dropped.
+time is linear in the text. An added span that overlaps a base span is dropped.
 """
 
 from __future__ import annotations
@@ -246,20 +246,22 @@ def text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row an input row: id, text, base (spans of the base kinds), spans (all, by kind and start)."""
+def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row an input row: id, text, counts, base (spans of the base kinds), spans (all, by kind and start). With
+    carry, also _row, a struct of the input's columns."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     fitted = model()
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    t = F.col("_t")
-    d = d.select("_id", "_t", *[F.filter(matches(t, k, BASE[k], NEEDS[k]), valid(k)).alias(f"_b_{k}") for k in KINDS], *[matches(t, k, p, CANDIDATE_NEEDS[k]).alias(f"_c_{k}") for k, p in GENERATORS.items()])
+    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *row)
+    t, row = F.col("_t"), ["_row"] if carry else []
+    d = d.select("_id", "_t", *row, *[F.filter(matches(t, k, BASE[k], NEEDS[k]), valid(k)).alias(f"_b_{k}") for k in KINDS], *[matches(t, k, p, CANDIDATE_NEEDS[k]).alias(f"_c_{k}") for k, p in GENERATORS.items()])
     base = F.concat(*[F.col(f"_b_{k}") for k in KINDS])
     clear = lambda x, others: ~F.exists(others, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]))
     chosen = {k: F.filter(f"_c_{k}", lambda x: (probability(feature_columns(x), fitted) >= threshold) & clear(x, F.col("_base"))) for k in GENERATORS}
-    d = d.select("_id", "_t", base.alias("_base"), *[f"_b_{k}" for k in KINDS], *[f"_c_{k}" for k in GENERATORS])
+    d = d.select("_id", "_t", *row, base.alias("_base"), *[f"_b_{k}" for k in KINDS], *[f"_c_{k}" for k in GENERATORS])
     d = d.withColumns({f"_a_{k}": c for k, c in chosen.items()})
     whole = [F.when(F.size(f"_a_{k}") == 0, F.col(f"_b_{k}")).otherwise(F.array_sort(F.concat(f"_b_{k}", f"_a_{k}"), by_start)) if k in GENERATORS else F.col(f"_b_{k}") for k in KINDS]
     counts = [F.size(f"_b_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return d.select(F.col("_id").alias(id_col), F.col("_t").alias(text_col), *counts, F.col("_base").alias("base"), F.concat(*whole).alias("spans"))
+    return d.select(F.col("_id").alias(id_col), F.col("_t").alias(text_col), *counts, F.col("_base").alias("base"), F.concat(*whole).alias("spans"), *row)
 
 
 def by_start(a: Column, b: Column) -> Column:
