@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import documents
+from folioflow.sources.shared import written
 
 # Rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -55,8 +56,8 @@ def word_counts(pages: DataFrame, text_col: str = "html", min_share: float = MIN
     """Frequent words of all pages' texts: at most 1 / min_share of them come to the driver."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<[^>]*+>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9])[a-z]{{1,{MAX_WORD}}}+(?![a-z0-9])"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = words.count()
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return {r.word: r.n for r in counts.filter(F.col("n") >= max(1.0, min_share * total)).collect()}
 
 
