@@ -8,7 +8,8 @@
 3. Candidates are compared in batches of signature positions. After each batch a pair goes where the posterior
    probability that its similarity reaches the threshold is below MISS; survivors are verified on their full sets.
 4. Components of the links. Then, in buckets that still hold several components, all pairs between different
-   components are compared in the same way, so no link between components is lost; pairs inside one don't matter.
+   components are compared in the same way, but for those that an exact bound rules out, so no link between components
+   is lost; pairs inside one don't matter.
 
 At a similarity of 0.75, 32 bands of 4 miss a pair with probability 5e-6, and MISS adds 1e-6 a batch.
 
@@ -204,17 +205,65 @@ def along(members: DataFrame) -> DataFrame:
     return members.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs between different components in a bucket. Buckets of one component fall out first; in the others
-    the members outside the largest component meet all members, so a large component costs no pairs of its own."""
+def edits(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(id, hub) to (id, hub, n, e): the text's set size, and the hashes in just one of the text's and the hub's set."""
+
+    def hashes(column: pa.Array) -> list[np.ndarray]:
+        w, out = words_of(column, SPACED), []
+        grams = shingle_hashes(w.hash, SHINGLE)
+        for n, end in zip(w.count.tolist(), np.cumsum(w.count).tolist(), strict=True):
+            h = np.unique(grams[end - n : end - SHINGLE + 1]) if n >= SHINGLE else mixed(shingle_hashes(w.hash[end - n : end], n) + np.uint64(n)) if n else grams[:0]
+            out.append(h.view(np.int64))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                x, h = hashes(part.column(2)), hashes(part.column(3))
+                e = [np.setxor1d(i, j, assume_unique=True) for i, j in zip(x, h, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) for i in x], pa.int64()), pa.array(e, pa.list_(pa.int64()))], names=["id", "hub", "n", "e"])
+
+    side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
+    both = pairs.join(side("id"), "id").join(side("hub"), "hub").select("id", "hub", "text_id", "text_hub")
+    return both.mapInArrow(run, "id bigint, hub bigint, n bigint, e array<bigint>")
+
+
+def bounds(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, hub, n, d, s): set size, edits against the hub, and how many of these any other text has as well.
+
+    Texts x and y differ by d(x) + d(y) - 2 * (edits in common) shingles, and at most min(s(x), s(y)) are in common.
+    They can be linked only where 7 times that is at most n(x) + n(y), as the threshold is 3 in 4.
+    """
+    e = written(edits(pairs, texts), "edits")
+    lone = e.select("id", "hub", F.explode("e").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("m"), F.min("id").alias("id"))
+    lone = lone.filter("m = 1").groupBy("id", "hub").agg(F.count("*").alias("lone"))
+    d = F.size("e").cast("bigint")
+    return written(e.join(lone, ["id", "hub"], "left").select("id", "hub", "n", d.alias("d"), (d - F.coalesce("lone", F.lit(0))).alias("s")), "bounds")
+
+
+def across(members: DataFrame, labels: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """All pairs between different components in a bucket that can be linked. Buckets of one component fall out first;
+    in the others the members outside the largest component meet all members, so a large component costs no pairs of
+    its own. With texts, exact bounds against the largest component's first text come before: they prove most
+    loose members of a family of copies unlinked without looking at pairs, and thin out the pairs of the others."""
     of = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     mixed_ones = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     of = written(of.join(mixed_ones, "bucket"), "mixed_buckets")
     sizes = of.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("big"))
-    rest = written(of.join(largest, "bucket").filter("c <> big").select("bucket", "big", F.col("id").alias("x"), F.col("c").alias("cx")), "rest_of_buckets")
-    pairs = rest.join(of, "bucket").filter("c <> cx AND (c = big OR x < id)")
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    largest = written(sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("big")), "largest")
+    of = of.join(largest, "bucket")
+    if texts is None:
+        of = of.withColumns({"n": F.lit(0), "d": F.lit(0), "s": F.lit(0)})
+    else:
+        near = bounds(of.select("id", F.col("big").alias("hub")).distinct(), texts)
+        of = of.join(near.withColumnRenamed("hub", "big"), ["id", "big"])
+    of = written(of.select("bucket", "big", "id", "c", "n", "d", "s"), "bounded_buckets")
+    least = of.groupBy("bucket").agg(F.min(F.col("d") - 2 * F.col("s")).alias("v"), F.max("n").alias("m"))
+    rest = of.filter("c <> big").join(least, "bucket").filter("7 * (d + v) <= n + m")
+    rest = written(rest.select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("s").alias("sx")), "rest_of_buckets")
+    can = "c <> cx AND (c = big OR x < id) AND 7 * (d + dx - 2 * least(s, sx)) <= n + nx"
+    return rest.join(of, "bucket").filter(can).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,14 +283,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(along(members), "pairs")
     links = written(verified(written(pruned(first, classes), "survivors"), texts), "links")
     labels = components(links)
-    second = across(members, labels).join(first, ["a", "b"], "left_anti")
+    second = across(members, labels, texts).join(first, ["a", "b"], "left_anti")
     more = written(verified(written(pruned(second, classes), "survivors"), texts), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
     remove(spark, texts, members, first)
 
     of_key = classes.select("key", "id").join(labels, "id").select("key", "component")
-    own = classes.select("key", F.col("id").alias("rep")).join(of_key, "key", "left").select("key", F.coalesce("component", "rep").alias("c"))
+    own = written(classes.select("key", F.col("id").alias("rep")).join(of_key, "key", "left").select("key", F.coalesce("component", "rep").alias("c")), "components")
     out = sketch.select("id", "n_shingles", "key").join(own, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
