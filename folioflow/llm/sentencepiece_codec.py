@@ -31,9 +31,10 @@ from folioflow.llm.common import documents, steps
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMO = 200_000
+MEMO = 250_000
 PAIRS = 400_000
 UNIGRAM, BPE = 1, 2
+WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Codec:
@@ -61,11 +62,20 @@ class Codec:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
         self.control = {i for i, p in enumerate(proto.pieces) if p.type in (kinds.CONTROL, kinds.UNKNOWN)}
         self.longest = max(map(len, self.id))
+        self.tree: dict = {}
+        for piece, i in self.id.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.pair_ids: dict[int, bool] = {}
+        self.raw = [b"" if i in self.control else bytes([self.value[i]]) if i in self.value else name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
         self.least = min(self.score.values(), default=0.0) - 10.0
         # a piece may hold a space only at its start, or consist of spaces: then words can be split off in front of one
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}  # words of late, and those before them
+        self.older: dict[str, list[int]] = {}
         del sentencepiece
 
     # -- BPE compatibility of two neighbours
@@ -131,6 +141,43 @@ class Codec:
                 base = best[cut]
                 best = {k: v - base for k, v in best.items()}
 
+    def short(self, text: str) -> list[int]:
+        """Ids of the same path for a text that fits the window of a BPE model, so that it is committed at its end
+        only. Steps go forward from each reached position along a tree of pieces; the first edge found to a position
+        is the only one. A character without a piece is an edge of its own, which parts what stands around it."""
+        n, size, pairs, root = len(text), len(self.names), self.pair_ids, self.tree
+        last: list[int | None] = [size] + [None] * n
+        back = [0] * (n + 1)
+        for start in range(n):
+            left = last[start]
+            if left is None:
+                continue
+            node, key = root, left * size
+            for end in range(start, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                i = node.get("")
+                if i is not None and last[end + 1] is None:
+                    ok = pairs.get(key + i)
+                    if ok or ok is None and self.fits_id(left, i):
+                        last[end + 1], back[end + 1] = i, start
+            if last[start + 1] is None and "" not in root.get(text[start], ()):
+                last[start + 1], back[start + 1] = size, start
+        out: list[int] = []
+        while n:
+            out[:0] = [last[n]] if last[n] < size else self.ids_of([text[back[n] : n]])
+            n = back[n]
+        return out
+
+    def fits_id(self, left: int, right: int) -> bool:
+        """fits() for ids; an id of len(names) stands for the text's start or a character without a piece."""
+        if len(self.pair_ids) >= PAIRS:
+            self.pair_ids.clear()
+        a, b = self.names[left] if left < len(self.names) else "", self.names[right]
+        ok = self.pair_ids[left * len(self.names) + right] = self.merged(a + b) == ([a, b] if a else [b])
+        return ok
+
     def _boundary(self, last: dict[int, str], done: int, end: int, n: int) -> int:
         """The rightmost boundary that the paths of all open positions share."""
         if end == n:
@@ -158,23 +205,30 @@ class Codec:
         if not text:
             return []
         text = (SPACE + text).replace(" ", SPACE)
+        words = self.words
         if not self.splits:
             return [i for part in self.stream(text) for i in self.ids_of(part)]
         out: list[int] = []
-        for word in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
-            ids = self.words.get(word)
+        for word in WORD.findall(text):
+            ids = words.get(word)
             if ids is None:
-                ids = [i for part in self.stream(word) for i in self.ids_of(part)]
-                if len(word) <= 4 * self.longest:
-                    if len(self.words) >= MEMO:
-                        self.words.clear()
-                    self.words[word] = ids
+                ids = self.older.get(word)
+                if ids is None:
+                    if self.bpe and len(word) <= 2 * self.longest:
+                        ids = self.short(word)
+                    else:
+                        ids = [i for part in self.stream(word) for i in self.ids_of(part)]
+                if len(word) <= 2 * self.longest:
+                    if len(words) >= MEMO:
+                        self.older, self.words = words, {}
+                        words = self.words
+                    words[word] = ids
             out += ids
         return out
 
     def decode(self, ids) -> str:
-        raw = b"".join(bytes([self.value[i]]) if i in self.value else b"" if i in self.control else self.names[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return text.removeprefix(" ")
 
 
 _loaded: dict[str, Codec] = {}
