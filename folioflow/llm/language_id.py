@@ -150,11 +150,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches):
         for batch in batches:
             f = features(batch.column(0).to_pylist(), idf)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b for b, _ in f], pa.list_(pa.int32())), pa.array([x for _, x in f], pa.list_(pa.float64()))], names=["lang", "b", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b for b, _ in f], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in f], pa.list_(pa.float32()))], names=["lang", "b", "x"])
 
-    got = chosen.select("text", "lang").mapInArrow(run, "lang string, b array<int>, x array<double>").collect()
-    x = [(np.array(r.b, np.int64), np.array(r.x)) for r in got]
-    y = np.array([languages.index(r.lang) for r in got], np.int64)
+    got = chosen.select("text", "lang").mapInArrow(run, "lang string, b array<int>, x array<float>").toArrow()
+    x = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(got["b"], got["x"], strict=True)]
+    y = np.array([languages.index(v) for v in got["lang"].to_pylist()], np.int64)
+    del got
     kept_out = np.arange(len(y)) % 5 == 4
     w = fit([r for r, o in zip(x, kept_out, strict=True) if not o], y[~kept_out], len(languages))
     t = 1.0
