@@ -266,6 +266,15 @@ def across(members: DataFrame, labels: DataFrame, texts: DataFrame | None = None
     return rest.join(of, "bucket").filter(can).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links (a, b), which are few: only components are joined, not all links anew."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti")
+    every = labels.union(ends.select("id", F.col("id").alias("component")))
+    side = lambda k: every.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
+    top = components(links.join(side("a"), "a").join(side("b"), "b"), "c_a", "c_b")
+    return every.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row an input row: id, n_shingles, component_id (the smallest id reachable), kept (the id is that one)."""
     spark = docs.sparkSession
@@ -286,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = across(members, labels, texts).join(first, ["a", "b"], "left_anti")
     more = written(verified(written(pruned(second, classes), "survivors"), texts), "links")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = merged(labels, more)
     remove(spark, texts, members, first)
 
     of_key = classes.select("key", "id").join(labels, "id").select("key", "component")

@@ -90,6 +90,12 @@ def test_components_of_a_chain(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_merged_labels(spark):
+    labels = components.components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a long, b long"))
+    got = {r.id: r.component for r in minhash.merged(labels, spark.createDataFrame([(3, 11), (30, 20), (40, 41)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 40: 40, 41: 40}
+
+
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog again and again"), (2, "Short item"), (3, None), (4, ""), (5, "the quick brown fox jumps over the lazy dog again and again"), (10, "é ü ß 1 2 3 4 5 6 7 8 9"), (None, "x")]
 DOCS = [
     (1, "He said: THE quick, brown fox jumps over the lazy dog again!"), (2, "a short ITEM here; short item"), (3, None), (4, ""), (5, "the quick brown fox jumps over the lazy dog"),
