@@ -2,7 +2,8 @@
 
 Lower-cased characters give n-grams of 1 to 3, hashed into BUCKETS. Document frequencies count all rows that may be
 learned from. Weights are fitted by follow-the-regularised-leader with elastic-net penalties on a sample of at most
-SAMPLE rows, chosen by a hash of the id; a part of the sample is kept out and sets the temperature. Scoring is a sum
+SAMPLE rows, shared evenly by the languages and chosen by a hash of the id; a part of each language's rows is kept out
+and sets the temperature. Scoring is a sum
 over a whole text's n-grams, so it is linear in the text and needs only one table of BUCKETS x languages.
 
 Defined cases: NULL texts and texts without a letter are 'und' with score 0. Where there is nothing to learn from,
@@ -12,10 +13,12 @@ read, and lang only of rows to learn from.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import documents, steps
@@ -130,38 +133,64 @@ def learnable(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -
     return docs.filter((F.crc32(F.col(id_col).cast("string")) % 4 != 2) & F.col(lang_col).isNotNull())
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows to sample of each language: an even share; what rare languages don't have goes to the others. At least 1."""
+    out, left = {}, sample
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        out[lang] = max(1, min(n, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
+def sampled(rows: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """(text, lang, nth): of each language its quota of the first rows by hash. Rows are thinned before they are
+    dealt by language, with six deviations to spare, so a language's task gets little more than its quota."""
+    quota = quotas(counts, sample)
+    by_lang = lambda f: F.try_element_at(F.create_map(*[x for v, q in quota.items() for x in (F.lit(v), F.lit(f(v, q)))]), "lang")
+    share = by_lang(lambda v, q: min(1.0, (q + 6 * q**0.5 + 20) / counts[v]))
+    h = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30))
+    thinned = rows.withColumn("h", h).filter(F.col("h") < share * float(1 << 30))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
+    return thinned.withColumn("nth", nth).filter(F.col("nth") <= by_lang(lambda v, q: q)).select("text", "lang", "nth")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict | None:
-    """The model: languages, one table of idf * weight, idf, temperature. None where there is nothing to learn from.
+    """The model: languages, one table of idf * weight, idf, temperature, left_out. None where there is nothing to
+    learn from.
 
-    The sample takes from each language a share that leaves about sample / languages of it, then the first rows by
-    hash; at most MAX_LANGUAGES of the most frequent languages are learned.
+    At most MAX_LANGUAGES of the most frequent languages are learned. left_out is (labels, rows) of the others, and a
+    warning names them.
     """
     rows = learnable(docs, id_col, lang_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    tally = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r.lang: r.n for r in tally.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
-    languages = sorted(r.lang for r in counts)
+    languages, left_out = sorted(counts), (0, 0)
+    if len(counts) == MAX_LANGUAGES:
+        rest = tally.filter(~F.col("lang").isin(languages)).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        left_out = (rest[0], rest[1])
+        if left_out[0]:
+            warnings.warn(f"{left_out[0]} languages of {left_out[1]} rows are not learned: only the {MAX_LANGUAGES} most frequent are", stacklevel=2)
     total, df = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + df)) + 1
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 1.2 * sample / len(counts) / r.n)))])
-    h = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30))
-    chosen = rows.withColumn("h", h).filter(F.col("h") < F.try_element_at(share, "lang") * float(1 << 30)).orderBy("h", "id").limit(sample)
-
     def run(batches):
         for batch in batches:
             f = features(batch.column(0).to_pylist(), idf)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b for b, _ in f], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in f], pa.list_(pa.float32()))], names=["lang", "b", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([b for b, _ in f], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in f], pa.list_(pa.float32()))], names=["lang", "nth", "b", "x"])
 
-    got = chosen.select("text", "lang").mapInArrow(run, "lang string, b array<int>, x array<float>").toArrow()
+    got = sampled(rows, counts, sample).mapInArrow(run, "lang string, nth int, b array<int>, x array<float>").toArrow()
+    y, nth = np.array([languages.index(v) for v in got["lang"].to_pylist()], np.int64), got["nth"].to_numpy()
+    order = np.lexsort((y, nth))
     x = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(got["b"], got["x"], strict=True)]
-    y = np.array([languages.index(v) for v in got["lang"].to_pylist()], np.int64)
+    x, y = [x[i] for i in order], y[order]
+    kept_out = nth[order] % 5 == 0
     del got
-    kept_out = np.arange(len(y)) % 5 == 4
     w = fit([r for r, o in zip(x, kept_out, strict=True) if not o], y[~kept_out], len(languages))
     t = 1.0
     if kept_out.any():
         t = temperature(np.array([(r[1] * SCALE) @ w[r[0]] for r, o in zip(x, kept_out, strict=True) if o]), y[kept_out])
-    return {"languages": languages, "weights": (w * idf[:, None]).astype(np.float32), "idf": idf.astype(np.float32), "temperature": t}
+    return {"languages": languages, "weights": (w * idf[:, None]).astype(np.float32), "idf": idf.astype(np.float32), "temperature": t, "left_out": left_out}
 
 
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

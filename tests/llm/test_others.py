@@ -176,6 +176,31 @@ def test_language_edges(spark):
     assert language_id.train(d.limit(0)) is None and language_id.predict(d.limit(0), None).count() == 0
 
 
+def uneven(spark, common, n, rare, m):
+    """Languages of own letters: `common` of n rows each, and "rare" of m rows."""
+    text = lambda j, i: " ".join(chr(0x4E00 + 8 * j + (i + p) % 8) * (1 + p % 3) for p in range(12))
+    rows = [(j * n + i, text(j, i), f"l{j}") for j in range(common) for i in range(n)] + [(common * n + i, text(common, i), rare) for i in range(m)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_rare_language_is_sampled_and_predicted(spark):
+    d = uneven(spark, 9, 600, "rare", 16)
+    model = language_id.train(d, sample=120)
+    got = language_id.predict(d.filter("lang = 'rare'"), model).collect()
+    assert len(got) == 16 and all(r.lang_pred == "rare" for r in got)
+    rows = language_id.learnable(d).selectExpr("doc_id id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    taken = {r["lang"]: r["count"] for r in language_id.sampled(rows, counts, 120).groupBy("lang").count().collect()}
+    assert taken == language_id.quotas(counts, 120) and sum(taken.values()) == 120 and taken["rare"] == min(12, counts["rare"])
+
+
+def test_languages_left_out_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.warns(UserWarning, match="1 languages of"):
+        model = language_id.train(uneven(spark, 2, 30, "rare", 8))
+    assert model["languages"] == ["l0", "l1"] and model["left_out"][0] == 1 and 0 < model["left_out"][1] <= 8
+
+
 def test_document_frequencies_brute(spark):
     texts = ["Ab a", None, "", "ab"]
     total, df = language_id.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
