@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
 columns of documents. The decisions need more than SQL, so there is no ORACLE_SQL; tests compare with brute force.
-Rows without a doc_id can't be told apart and leave in near-duplicate removal; extra columns are carried.
+Rows without a doc_id stay unless their text is rejected: near-duplicate removal keeps them all, as its operator does,
+and decontamination judges them by their text. Extra columns are carried.
 """
 
 from __future__ import annotations
@@ -30,17 +31,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of near-duplicates the document of the smallest id stays, and all without an id. An id stays when
+    one of its rows is kept. Rows without an id aren't joined, as they would all meet in one task."""
     small_batches(spark)
     kept = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    known = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return known.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share 10 words in a row, or a whole shorter item, with the benchmark go."""
+    """Documents that share 10 words in a row, or a whole shorter item, with the benchmark go. The operator doesn't
+    judge rows without an id, so a digest of the text stands in for it."""
     small_batches(spark)
-    bad = decontaminate.decontaminate(docs, documents(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.withColumn("_stage_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))))
+    bad = decontaminate.decontaminate(named, documents(spark, sf_dir, "benchmark"), id_col="_stage_id").filter("contaminated").select("_stage_id").distinct()
+    return named.join(bad, "_stage_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

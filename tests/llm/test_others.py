@@ -236,6 +236,17 @@ def test_pipeline_stages(spark):
     assert len(last) == after.count() and all(r.restored for r in last)
 
 
+def test_pipeline_keeps_clean_rows_without_an_id(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    clean = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcd"]
+    rows = [(None, clean[0], 1), (None, clean[0], 2), (None, item, 3), (None, None, 4), (1, clean[1], 5), (2, clean[1], 6), (3, item, 7), (5, clean[2], 8), (5, clean[1], 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    once = corpus_pipeline.drop_near_duplicates(spark, d, SF)
+    assert once.columns == d.columns and sorted(r.extra for r in once.collect()) == [1, 2, 3, 4, 5, 7, 8, 9]
+    twice = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(once.collect(), d.schema), SF)
+    assert twice.columns == d.columns and sorted(r.extra for r in twice.collect()) == [1, 2, 4, 5, 8, 9]
+
+
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
     assert minhash.HASHES == 128
