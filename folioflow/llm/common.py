@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes, so that its arrays stay bounded. A longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BASE = 0x9E3779B97F4A7C15
@@ -19,11 +21,48 @@ _MASK = (1 << 64) - 1
 
 
 #: Rows of a batch between Spark and Python. Texts are large: Spark's default of 10,000 rows may take too much memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the session's Arrow batches, unless they are smaller already. Spark reads the setting when a query runs,
+    so it has to stay set."""
+    if int(spark.conf.get(_RECORDS)) > BATCH_ROWS or int(spark.conf.get(_RECORDS)) <= 0:
+        spark.conf.set(_RECORDS, str(BATCH_ROWS))
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose worker gives its memory back when a task ends. Spark keeps idle workers, and what they hold
+    counts beside the executor's heap in all later stages."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(whole, schema)
+
+
+def released() -> None:
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Names like these that no column has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -57,6 +57,79 @@ def test_near_duplicates_brute(spark):
     assert got == brute_components(rows)
 
 
+def edited(seed, n, words=150, most=9):
+    """Near copies of one text with 1 to `most` words replaced, removed or added."""
+    r = random.Random(seed)
+    base, out = [r.choice(WORDS) for _ in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for p in r.sample(range(words), r.randint(1, most)):
+            w[p] = r.choice([r.choice(WORDS), r.choice(WORDS), "", w[p] + " " + r.choice(WORDS)])
+        out.append((1000 * seed + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [minhash.HOT_PAIRS, 20])
+def test_near_duplicates_of_edited_copies_brute(spark, monkeypatch, hot):
+    """Also with families taken apart at once, which large ones would be."""
+    monkeypatch.setattr(minhash, "HOT_PAIRS", hot)
+    rows = edited(1, 300)
+    r = random.Random(8)
+    inner = rows[0][1].split()
+    for p in r.sample(range(100), 12):
+        inner[p] = r.choice(WORDS)
+    for i in range(40):  # a family within the family, far from its middle
+        w = list(inner)
+        for p in r.sample(range(len(w)), r.randint(0, 8)):
+            w[p] = r.choice(WORDS)
+        rows.append((3000 + i, " ".join(w)))
+    got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert len({c for _, c, _ in want.values()}) > 30
+    assert got == want
+
+
+def groups_of(ids, links):
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_related_holds_all_links_between_components(spark, seed):
+    """The links known before and those among related() pairs connect all that any link connects, with few pairs."""
+    rows = edited(seed, 120)
+    texts = spark.createDataFrame(rows, "id long, text string")
+    sets = {i: minhash.shingles(t) for i, t in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and minhash.linked(sets[a], sets[b])}
+    hub = rows[0][0]
+    known = {(a, b) for a, b in links if a == hub}
+    near = {b for _, b in known} | {hub}
+    family = spark.createDataFrame([(i, hub, hub if i in near else i, hub) for i in sets if i != hub], "id long, hub long, c long, hc long")
+    got = {tuple(r) for r in minhash.related(family, texts).collect()}
+    assert groups_of(sets, known) != groups_of(sets, links) == groups_of(sets, known | (got & links))
+    assert len(got) < 4 * len(sets)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    r = random.Random(4)
+    a, b = ([r.choice(WORDS) for _ in range(60)] for _ in range(2))
+    near = lambda w: [*w[:59], "other"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near(a))), (3, " ".join(near(b))), (4, " ".join(b[:30]))]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 56, 1, True), (1, 56, 1, True), (2, 56, 1, False), (3, 56, 1, False), (4, 26, 4, True)]
+    named = spark.createDataFrame([("b", " ".join(a)), ("a", " ".join(near(a))), (None, " ".join(a)), ("c", None)], "doc_id string, text string")
+    assert sorted((str(x.doc_id), x.component_id) for x in minhash.near_duplicates(named).collect()) == [("None", None), ("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_near_duplicates_sql(spark):
     assert_same(minhash.query(spark, SF), minhash.SQL, SF)
 
@@ -127,6 +200,13 @@ def test_decontaminate_cases(spark):
     assert decontaminate.decontaminate(d, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontaminate_with_repeated_ids(spark):
+    items = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
+    rows = [(1, "x"), (1, ITEMS[0][1]), (1, "clean words only"), (1, "x"), (2, "a short item")]
+    got = sorted((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.decontaminate(spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, k int, fp int"), items).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (1, 3, 0), (1, 12, 12), (2, 3, 2)]
+
+
 def test_decontaminate_sql(spark):
     assert_same(decontaminate.query(spark, SF), decontaminate.SQL, SF)
 
@@ -175,6 +255,14 @@ def test_suffix_dedup_edges(spark):
     assert bytes(kept.kept) == b"short" and kept.kept_sha256 == hashlib.sha256(b"short").hexdigest()
 
 
+def test_suffix_dedup_with_repeated_ids(spark):
+    r = random.Random(6)
+    a, b = ("".join(r.choice("abcd ") for _ in range(400)) for _ in range(2))
+    rows = [(1, a), (1, "short"), (1, a), (1, b), (2, a[100:] + b[::-1][:120]), (3, b)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed) for x in suffix_dedup.suffix_dedup(frame(spark, rows)).collect())
+    assert got == [(1, 5, 0), (1, 400, 0), (1, 400, 0), (1, 400, 0), (2, 420, 300), (3, 400, 400)]
+
+
 def test_later_across_partitions(spark):
     rows = [(5, 1, i, 0) for i in range(200)] + [(i, 0, 7, i) for i in range(300)]
     ranks = spark.createDataFrame(rows, "k long, k2 int, id long, p int")
