@@ -8,8 +8,9 @@ candidate pairs; each pair is then extended over the whole document and confirme
 Spark broadcasts the items' fingerprints only where their size is below its threshold, and otherwise shuffles both.
 
 Defined cases: NULL and texts without words have no hits, items without words or id never occur. Each input row gives
-one row; rows that repeat a doc_id are judged by that id. Only ids and texts are read. An empty table on either side
-gives no hits.
+one row and is judged by its own text, also where a doc_id is repeated: texts are told apart by id and a 64-bit hash.
+Rows without an id aren't judged: they count as clean. Only ids and texts are read, so other columns may have any
+names. An empty table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import ALNUM, documents, mixed, shingle_hashes, steps, words_of
+from folioflow.llm.common import ALNUM, documents, flat, in_arrow, mixed, shingle_hashes, steps, words_of
 from folioflow.sources.shared import written
 
 SPAN = 10
@@ -58,13 +59,14 @@ def runs(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return row[: len(grams)][inside], grams[inside]
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, short: tuple[int, ...] | None) -> DataFrame:
-    """(id, fp) rows. short: lengths below SPAN whose runs count; None, for items: a short item's whole run."""
+def fingerprints(df: DataFrame, short: tuple[int, ...] | None) -> DataFrame:
+    """df(id, k, text) to (id, k, fp). short: lengths below SPAN whose runs count; None, for items: a short item's
+    whole run."""
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, 1):
-                w = words_of(part.column(1), ALNUM)
+            for part in steps(batch, 2):
+                w = words_of(part.column(2), ALNUM)
                 found = [winnowed(w.hash, w.row)]
                 if short is None:
                     for n in np.unique(w.count[(w.count > 0) & (w.count < SPAN)]).tolist():
@@ -74,10 +76,28 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, short: tuple[int, ..
                 else:
                     found += [runs(w.hash, w.row, n) for n in short]
                 r, f = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(f.view(np.int64))], names=["id", "fp"])
+                at = pa.array(r)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(f.view(np.int64))], names=["id", "k", "fp"])
 
-    kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return in_arrow(df.select("id", "k", "text"), run, f"id {dict(df.dtypes)['id']}, k bigint, fp bigint")
+
+
+def word_counts(df: DataFrame) -> DataFrame:
+    """df(id, k, text) to (id, k, n_words): the places where a word begins."""
+
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch, 2):
+                data, offsets = flat(part.column(2))
+                mask = ALNUM[data]
+                begins = mask.copy()
+                begins[1:] &= ~mask[:-1]
+                at = offsets[:-1][offsets[:-1] < len(data)]
+                begins[at] = mask[at]  # a text's first byte has nothing before it
+                total = np.concatenate([[0], np.cumsum(begins)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64())], names=["id", "k", "n_words"])
+
+    return in_arrow(df.select("id", "k", "text"), run, f"id {dict(df.dtypes)['id']}, k bigint, n_words bigint")
 
 
 def short_lengths(items: DataFrame, text_col: str) -> tuple[int, ...]:
@@ -87,54 +107,46 @@ def short_lengths(items: DataFrame, text_col: str) -> tuple[int, ...]:
 
 
 def extended(text: str | None, items: list[tuple[str, str | None]]) -> tuple[int, list[str]]:
-    """(words hit, ids of the items that occur) of one document and its candidate items."""
-    doc = words(text)
-    at: dict[int, dict[bytes, list[int]]] = {}
-
-    def places(n: int) -> dict[bytes, list[int]]:
-        if n not in at:
-            at[n] = {}
-            for i in range(len(doc) - n + 1):
-                at[n].setdefault(b" ".join(doc[i : i + n]), []).append(i)
-        return at[n]
-
-    hit, names, done = bytearray(len(doc)), set(), set()
+    """(words hit, ids of the items that occur) of one document and its candidate items. What is kept grows with the
+    items; the document's windows are only looked up."""
+    doc, wanted = words(text), {}
     for item, item_text in items:
         w = words(item_text)
         n = min(SPAN, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            window = b" ".join(w[i : i + n])
-            if found := places(n).get(window):
-                names.add(item)
-                if (n, window) not in done:
-                    done.add((n, window))
-                    for p in found:
-                        hit[p : p + n] = b"\x01" * n
+            wanted.setdefault(n, {}).setdefault(b" ".join(w[i : i + n]), []).append(item)
+    hit, names = bytearray(len(doc)), set()
+    for n, of in wanted.items():
+        for p in range(len(doc) - n + 1):
+            if found := of.get(b" ".join(doc[p : p + n])):
+                names.update(found)
+                hit[p : p + n] = b"\x01" * n
     return sum(hit), sorted(names)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row an input row: id, n_words, n_hit, n_items, items (array of ids as strings), contaminated."""
     known = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("item_text"))
-    table = written(fingerprints(known, "item", "item_text", None).distinct(), "item_fingerprints")
-    mine = fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, short_lengths(known, "item_text"))
-    pairs = mine.join(table.withColumnRenamed("id", "item"), "fp").select("id", "item").distinct()
-    given = pairs.join(known.distinct(), "item").groupBy("id").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = known.select(F.col("item").alias("id"), F.lit(0).cast("bigint").alias("k"), F.col("item_text").alias("text"))
+    table = written(fingerprints(given, None).select(F.col("id").alias("item"), "fp").distinct(), "item_fingerprints")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    mine = fingerprints(d.filter("id IS NOT NULL"), short_lengths(known, "item_text"))
+    pairs = mine.join(table, "fp").select("id", "k", "item").distinct()
+    found = pairs.join(known.distinct(), "item").groupBy("id", "k").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
 
     def run(batches):
         for batch in batches:
-            out = [extended(t, [(x["item"], x["item_text"]) for x in i]) for t, i in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.string()))], names=["id", "n_hit", "items"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out = [extended(t, [(x["item"], x["item_text"]) for x in i]) for t, i in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.string()))], names=["id", "k", "n_hit", "items"])
 
     kind = dict(d.dtypes)["id"]
-    hits = d.join(given, "id").select("id", "text", "items").mapInArrow(run, f"id {kind}, n_hit bigint, items array<string>")
-    hits = hits.filter("n_hit > 0").groupBy("id").agg(F.max(F.struct("n_hit", "items")).alias("h"))
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("bigint")
-    counted = d.select("id", n_words.alias("n_words"))
+    hits = in_arrow(d.join(found, ["id", "k"]).select("id", "k", "text", "items"), run, f"id {kind}, k bigint, n_hit bigint, items array<string>")
+    hits = hits.filter("n_hit > 0").groupBy("id", "k").agg(F.max(F.struct("n_hit", "items")).alias("h"))
     n_hit = F.coalesce("h.n_hit", F.lit(0)).cast("bigint")
     names = F.coalesce("h.items", F.array().cast("array<string>"))
-    return counted.join(hits, "id", "left").select(
+    return word_counts(d).join(hits, ["id", "k"], "left").select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), names.alias("items"), (n_hit > 0).alias("contaminated")
     )
 
