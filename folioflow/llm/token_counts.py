@@ -6,16 +6,16 @@ scan over the blocks' summaries (separators, tokens before the first, tokens aft
 documents that cross blocks.
 
 Writing: Spark's text writer puts its line separator behind every row; here that is the separator's bytes, so the
-committed writer makes the flat files. A file beside each one lists the ids of its documents in order.
+committed writer makes the flat files. A file of the same name in the folder beside lists the ids of its documents in
+order; it is split where the tokens are, should Spark split a task's output into several files.
 
-Defined cases: NULL and '' have no tokens, but a place. Each input row gives one row, repeated ones too. Only id and
-text are read. An empty table gives no documents.
+Defined cases: NULL and '' have no tokens, but a place. Each input row gives one row, repeated ones and those without
+an id too. Only id and text are read. An empty table gives no documents.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 
 import numpy as np
@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.llm.common import documents
-from folioflow.sources.shared import new_path
+from folioflow.llm.common import documents, in_arrow
+from folioflow.sources.shared import new_path, remove, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -62,7 +62,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
                 seq += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(ids) + ["ids"] * len(ids)), pa.array(order * 2, pa.int64()), pa.array(tokens + ids, pa.binary())], names=["kind", "seq", "raw"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, seq bigint, raw binary")
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = in_arrow(given, run, "kind string, seq bigint, raw binary")
     separator = np.array([end], TOKEN).tobytes().decode("latin-1")
     out = rows.sortWithinPartitions("kind", "seq").select("kind", F.col("raw").cast("string").alias("value"))
     out.write.partitionBy("kind").option("lineSep", separator).option("encoding", "ISO-8859-1").option("compression", "gzip").text(path)
@@ -94,7 +95,7 @@ def scan_blocks(spark: SparkSession, path: str, block: int = BLOCK, end: int = E
                     yield pa.RecordBatch.from_arrays([names, pa.array(range(a, a + len(n)), pa.int64()), *[pa.array(x, pa.int64()) for x in (n, head, tail)], pa.array([x.tolist() for x in inner], pa.list_(pa.int64()))], names=["file", "block", "n_seps", "head", "tail", "inner"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, block bigint, n_seps bigint, head bigint, tail bigint, inner array<bigint>")
+    return in_arrow(files, run, "file string, block bigint, n_seps bigint, head bigint, tail bigint, inner array<bigint>")
 
 
 def stitched(blocks: DataFrame) -> DataFrame:
@@ -117,7 +118,8 @@ def stitched(blocks: DataFrame) -> DataFrame:
 
 
 def part_of(file: Column) -> Column:
-    return F.regexp_extract(file, r"part-([0-9]+)", 1)
+    """A file's whole name: a task may have written several."""
+    return F.element_at(F.split(file, "/"), -1)
 
 
 def ids_of(spark: SparkSession, path: str, end: int = END) -> DataFrame:
@@ -127,24 +129,31 @@ def ids_of(spark: SparkSession, path: str, end: int = END) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                name = re.search(r"part-([0-9]+)", batch.column(0)[i].as_py().rsplit("/", 1)[-1])[1]
+                name = batch.column(0)[i].as_py()
                 ids = unpacked(batch.column(1)[i].as_py()).split(mark)[:-1]
                 for a in range(0, len(ids), 10_000):
                     some = [bytes.fromhex(x.decode()).decode() if x else None for x in ids[a : a + 10_000]]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(range(a, a + len(some)), pa.int64()), pa.array(some, pa.string())], names=["part", "ordinal", "id"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "part string, ordinal bigint, id string")
+    files = spark.read.format("binaryFile").load(path).select(part_of(F.col("path")).alias("part"), "content")
+    return in_arrow(files, run, "part string, ordinal bigint, id string")
 
 
-def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, part, ordinal, n_tokens) of each row, by way of flat files in the shared folder."""
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "tokens")
+def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, path: str | None = None) -> DataFrame:
+    """(id, part, ordinal, n_tokens) of each row, by way of flat files. They stay where a path is given; else they are
+    in the shared folder for as long as it takes to count."""
+    spark, kept = docs.sparkSession, path
+    path = path or new_path(spark, "tokens")
     write_tokens(docs, path, vocabulary, id_col, text_col)
     if not docs.limit(1).count():
         return spark.createDataFrame([], f"`{id_col}` {dict(docs.dtypes)[id_col]}, part string, ordinal bigint, n_tokens bigint")
-    counts = stitched(scan_blocks(spark, f"{path}/kind=tokens", block)).select(part_of(F.element_at(F.split("file", "/"), -1)).alias("part"), "ordinal", "n_tokens")
+    counts = stitched(scan_blocks(spark, f"{path}/kind=tokens", block)).select(part_of(F.col("file")).alias("part"), "ordinal", "n_tokens")
     ids = ids_of(spark, f"{path}/kind=ids")
-    return counts.join(ids, ["part", "ordinal"]).select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), "part", "ordinal", "n_tokens")
+    out = counts.join(ids, ["part", "ordinal"]).select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), "part", "ordinal", "n_tokens")
+    if kept is None:
+        out = written(out, "token_counts")
+        remove(spark, path)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
