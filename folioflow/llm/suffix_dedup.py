@@ -15,7 +15,8 @@ Sorting every position of a corpus, as the plain form of the method does, would
 anchors carry about one position in 31, and step 3 sees the edges of repeated passages only.
 
 Defined cases: NULL and '' have no bytes. Rows without an id keep all bytes. Each input row gives one row; rows that
-repeat an id and text count as one document. Only id and text are read. Empty tables give empty results.
+repeat an id and text count as one document, an id with different texts as several, in the order of a hash of the text.
+Ids are integers. Only id and text are read, so other columns may have any names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BASE, INVERSE, cached_powers, documents, flat, mixed, powers, prefix_hash, steps
+from folioflow.llm.common import INVERSE, cached_powers, documents, flat, in_arrow, mixed, prefix_hash, steps
 from folioflow.sources.shared import remove, written
 
 WIDTH = 100
@@ -67,15 +68,16 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """docs(id, text) to (g, c, id, p, n)."""
+    """docs(id, t, text) to (g, c, id, t, p, n)."""
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, 1, STEP):
-                r, p, n, g, c = anchors_of(*flat(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), part.column(0).take(pa.array(r)), pa.array(p), pa.array(n)], names=["g", "c", "id", "p", "n"])
+            for part in steps(batch, 2, STEP):
+                r, p, n, g, c = anchors_of(*flat(part.column(2)))
+                at = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), part.column(0).take(at), part.column(1).take(at), pa.array(p), pa.array(n)], names=["g", "c", "id", "t", "p", "n"])
 
-    return docs.mapInArrow(run, "g bigint, c bigint, id bigint, p int, n int")
+    return in_arrow(docs.select("id", "t", "text"), run, "g bigint, c bigint, id bigint, t bigint, p int, n int")
 
 
 def second_hash(data: np.ndarray) -> np.ndarray:
@@ -85,13 +87,13 @@ def second_hash(data: np.ndarray) -> np.ndarray:
 
 
 def window_ranks(open_docs: DataFrame) -> DataFrame:
-    """open_docs(id, text, runs array<struct<p, n>>) to (k, k2, id, p): the rank pair of each open window."""
+    """open_docs(id, t, text, runs array<struct<p, n>>) to (k, k2, id, t, p): the rank pair of each open window."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data, _ = flat(batch.column(1).slice(i, 1))
-                runs = batch.column(2)[i].as_py()
+                data, _ = flat(batch.column(2).slice(i, 1))
+                runs = batch.column(3)[i].as_py()
                 at = np.unique(np.concatenate([np.arange(x["p"], x["p"] + x["n"]) for x in runs])) if runs else np.zeros(0, np.int64)
                 at = at[at + WIDTH <= len(data)]
                 if not len(at):
@@ -99,61 +101,71 @@ def window_ranks(open_docs: DataFrame) -> DataFrame:
                 p, q = prefix_hash(data), second_hash(data)
                 k = mixed((p[at + WIDTH] - p[at]) * cached_powers(len(data) + 1, INVERSE)[at]).view(np.int64)
                 k2 = (mixed((q[at + WIDTH] - q[at]) * cached_powers(len(data) + 1, INVERSE_2)[at]) >> np.uint64(33)).astype(np.int32)
-                ids = pa.array(np.full(len(at), batch.column(0)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(k2), ids, pa.array(at.astype(np.int32))], names=["k", "k2", "id", "p"])
+                same = [pa.array(np.full(len(at), batch.column(c)[i].as_py(), np.int64)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(k2), *same, pa.array(at.astype(np.int32))], names=["k", "k2", "id", "t", "p"])
 
-    return open_docs.select("id", "text", "runs").mapInArrow(run, "k bigint, k2 int, id bigint, p int")
+    return in_arrow(open_docs.select("id", "t", "text", "runs"), run, "k bigint, k2 int, id bigint, t bigint, p int")
 
 
 def later(ranks: DataFrame) -> DataFrame:
-    """Of (k, k2, id, p): the (id, p) whose rank has come before. Sorted over all partitions; as a group may cross
-    partitions, each reports its first and last rank, two rows a partition, which the driver compares."""
+    """Of (k, k2, id, p), and t if there is one: the places (id, t, p) whose rank has come before. Sorted over all
+    partitions; as a group may cross partitions, each reports its first and last rank, two rows a partition, which the
+    driver compares."""
+    place = [c for c in ("id", "t", "p") if c in ranks.columns]
+    kinds = {"id": pa.int64(), "t": pa.int64(), "p": pa.int32(), "mark": pa.int32(), "pid": pa.int32(), "k": pa.int64(), "k2": pa.int32()}
+    schema = pa.schema([(c, kinds[c]) for c in (*place, "mark", "pid", "k", "k2")])
 
     def run(batches):
         from pyspark import TaskContext
 
-        pid, carry, head = TaskContext.get().partitionId(), None, None
-        schema = ["id", "p", "pid", "mark", "k", "k2"]
-        row = lambda mark, x: pa.RecordBatch.from_arrays([pa.array([x[2]], pa.int64()), pa.array([x[3]], pa.int32()), pa.array([pid], pa.int32()), pa.array([mark], pa.int32()), pa.array([x[0]], pa.int64()), pa.array([x[1]], pa.int32())], names=schema)
+        pid, carry, head = TaskContext.get().partitionId(), None, None  # carry: a group's rank and first place
+        one = lambda mark, rank, at: pa.RecordBatch.from_pylist([dict(zip(schema.names, (*at, mark, pid, *rank), strict=True))], schema=schema)
         for batch in batches:
-            k, k2, ids, p = (c.to_numpy() for c in batch.columns)
+            k, k2, *at = (c.to_numpy() for c in batch.columns)
             if not len(k):
                 continue
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])
             if carry is not None:
-                new[0] = (k[0], k2[0]) != carry[:2]
+                new[0] = (k[0], k2[0]) != carry[0]
             start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            inside = start >= 0
-            first_id, first_p = ids[np.maximum(start, 0)], p[np.maximum(start, 0)]
-            if carry is not None:
-                first_id, first_p = np.where(inside, first_id, carry[2]), np.where(inside, first_p, carry[3])
-            again = (ids != first_id) | (p != first_p)
+            first = [np.where(start >= 0, x[np.maximum(start, 0)], carry[1][i] if carry else 0) for i, x in enumerate(at)]
+            again = np.logical_or.reduce([x != y for x, y in zip(at, first, strict=True)])
             if head is None:
-                head = (int(k[0]), int(k2[0]), int(ids[0]), int(p[0]))
-            carry = (int(k[-1]), int(k2[-1]), int(first_id[-1]), int(first_p[-1]))
+                head = (int(k[0]), int(k2[0])), [int(x[0]) for x in at]
+            carry = (int(k[-1]), int(k2[-1])), [int(x[-1]) for x in first]
             m = int(again.sum())
-            none, zero = pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(p[again]), zero, zero, none, pa.nulls(m, pa.int32())], names=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[again], kinds[c]) for x, c in zip(at, place, strict=True)], pa.array(np.zeros(m, np.int32)), *[pa.nulls(m, kinds[c]) for c in ("pid", "k", "k2")]], schema=schema)
         if carry is not None:
-            yield row(1, head)
-            yield row(2, carry)
+            yield one(1, *head)
+            yield one(2, *carry)
 
-    dealt = ranks.repartitionByRange("k", "k2", "id", "p").sortWithinPartitions("k", "k2", "id", "p")
-    found = written(dealt.mapInArrow(run, "id bigint, p int, pid int, mark int, k bigint, k2 int"), "repeated")
+    keys = ["k", "k2", *place]
+    dealt = ranks.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kept = dict(ranks.dtypes)
+    found = written(in_arrow(dealt, run, ", ".join([*(f"{c} {kept[c]}" for c in place), "mark int, pid int, k bigint, k2 int"])), "repeated")
     ends = sorted(found.filter("mark > 0").collect(), key=lambda r: (r.pid, r.mark))
     more, last = [], None
     for r in ends:
+        at = tuple(r[c] for c in place)
         if r.mark == 1:
-            if last is not None and (r.k, r.k2) == last[:2] and (r.id, r.p) != last[2:]:
-                more.append((r.id, r.p))
-        elif last is None or (r.k, r.k2) != last[:2]:
-            last = (r.k, r.k2, r.id, r.p)
-    return found.filter("mark = 0").select("id", "p").union(ranks.sparkSession.createDataFrame(more, "id bigint, p int"))
+            if last is not None and (r.k, r.k2) == last[0] and at != last[1]:
+                more.append(at)
+        elif last is None or (r.k, r.k2) != last[0]:
+            last = (r.k, r.k2), at
+    return found.filter("mark = 0").select(*place).union(ranks.sparkSession.createDataFrame(more, ", ".join(f"{c} {kept[c]}" for c in place)))
+
+
+def told_apart(d: DataFrame) -> DataFrame:
+    """d(id, text) with t: 0, or a hash of the text where its id also has another text."""
+    h = F.xxhash64("text")
+    spread = d.groupBy("id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("id", F.lit(True).alias("several"))
+    several = written(spread, "repeated_ids")
+    return d.join(several, "id", "left").select("id", "text", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).cast("bigint").alias("t"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """docs(id, text) to (id, runs): starts and numbers of the windows that have come earlier."""
+    """docs(id, t, text) to (id, t, runs): starts and numbers of the windows that have come earlier."""
     spark = docs.sparkSession
     d = docs.filter("id IS NOT NULL")
     a = written(anchors(d), "anchors")
@@ -161,23 +173,26 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     some = written(a.join(twice, "g"), "repeated_anchors")
     remove(spark, a, twice)
 
-    firsts = written(some.groupBy("g", "c").agg(F.min(F.struct("id", "p", "n")).alias("f")).select("g", "c", F.col("f.id").alias("fid"), F.col("f.p").alias("fp"), F.col("f.n").alias("fn")), "first_stretches")
-    settled = written(some.join(firsts, ["g", "c"]).filter("id <> fid OR p <> fp").select("id", "p", "n"), "settled")
+    firsts = some.groupBy("g", "c").agg(F.min(F.struct("id", "t", "p", "n")).alias("f"))
+    firsts = written(firsts.select("g", "c", *[F.col(f"f.{x}").alias(f"f{x}") for x in ("id", "t", "p", "n")]), "first_stretches")
+    settled = written(some.join(firsts, ["g", "c"]).filter("id <> fid OR t <> ft OR p <> fp").select("id", "t", "p", "n"), "settled")
     several = firsts.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
-    left = firsts.join(several, "g").select(F.col("fid").alias("id"), F.struct(F.col("fp").alias("p"), F.col("fn").alias("n")).alias("r"))
-    left = written(left.groupBy("id").agg(F.collect_list("r").alias("runs")), "open")
+    left = firsts.join(several, "g").select(F.col("fid").alias("id"), F.col("ft").alias("t"), F.struct(F.col("fp").alias("p"), F.col("fn").alias("n")).alias("r"))
+    left = written(left.groupBy("id", "t").agg(F.collect_list("r").alias("runs")), "open")
     remove(spark, some, firsts)
 
-    ranks = written(window_ranks(d.join(left, "id")), "ranks")
+    ranks = written(window_ranks(d.join(left, ["id", "t"])), "ranks")
     again = later(ranks)
-    runs = settled.union(again.select("id", "p", F.lit(1).alias("n")))
-    return runs.groupBy("id").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    remove(spark, ranks)
+    runs = settled.union(again.select("id", "t", "p", F.lit(1).alias("n")))
+    return runs.groupBy("id", "t").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """One row an input row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left)."""
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = d.join(repeated_runs(d), "id", "left").select("id", "text", F.col("runs.p").alias("p"), F.col("runs.n").alias("n"))
+    d = told_apart(d)
+    whole = d.join(repeated_runs(d), ["id", "t"], "left").select("id", "text", F.col("runs.p").alias("p"), F.col("runs.n").alias("n"))
 
     def run(batches):
         for batch in batches:
@@ -195,7 +210,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n_bytes, removed, spans, digest, kept = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)], pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = whole.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    out = in_arrow(whole, run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
     return out if with_kept else out.drop("kept")
 
 
