@@ -1,32 +1,37 @@
 """Operator 8, SentencePiece encoding and decoding: streaming Viterbi.
 
-A text is read piece end by piece end; each position keeps its best last piece and the position before it. Only a
-window of the longest piece's length is open: once the backpointers of all open positions lead through one boundary,
-the ids before it are committed and forgotten.
+A text is read from piece start to piece start: edges of the lattice go forward along a tree of pieces, and each
+position keeps its best last piece and the position before it. Only a window of about the longest piece's length is
+open: once the backpointers of all open positions lead through one boundary, the pieces before it are committed and
+forgotten.
 
 Scores depend on the model. A unigram model adds its pieces' log probabilities. The public model of this box is a BPE
 model, whose segmentation is not the best sum of any scores; there an edge is allowed only where last piece and new
 piece stand together in BPE's own output (their joined text encodes to the two), which leaves one valid path to every
 position. So the same lattice, window and commit rule give the library's ids for both kinds.
 
+Where no piece holds a space but at its start, every path goes through the boundary before a space; the stream is then
+run word by word, and the ids of words of late are remembered.
+
 White space other than spaces is plain text; a space becomes U+2581, and one is put before the text. Decoding takes
-it away. Characters without a piece become bytes.
+it away. Characters without a piece become bytes. Models with user-defined pieces, or with normalisation, are rejected.
 
-Defined cases: NULL and '' have no ids and decode to ''. Each input row gives one row. Only id and text are read, other
-columns may be carried under their names. Texts of any length: open state is bounded by the longest piece.
+Defined cases: NULL and '' have no ids and decode to ''. Each input row gives one row, repeated ones too. Only id and
+text are read. Texts of any length: open state is bounded by the longest piece. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents, steps
+from folioflow.llm.common import documents, in_arrow, steps
 
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -37,46 +42,67 @@ UNIGRAM, BPE = 1, 2
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class Memo(dict):
+    """Ids of words, as bytes. Two generations: words of the older one that are met again go to the younger."""
+
+    def __init__(self, make, longest: int):
+        self.make, self.longest, self.older = make, longest, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = np.array(self.make(word), "<i4").tobytes()
+        if len(word) <= self.longest:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of a .model file."""
 
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         spec = proto.normalizer_spec
+        kinds = pb.ModelProto.SentencePiece
         if proto.trainer_spec.model_type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models have a lattice")
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models without normalisation, with a space before the text, are supported")
-        kinds = pb.ModelProto.SentencePiece
+        if any(p.type == kinds.USER_DEFINED for p in proto.pieces):
+            raise ValueError("models with user-defined pieces aren't supported")
         self.bpe = proto.trainer_spec.model_type == BPE
         self.names = [p.piece for p in proto.pieces]
-        self.score = {p.piece: p.score for p in proto.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
-        self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
+        self.score = {p.piece: p.score for p in proto.pieces if p.type == kinds.NORMAL}
+        self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
         self.byte = {int(p.piece[3:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.value = {i: b for b, i in self.byte.items()}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
         self.control = {i for i, p in enumerate(proto.pieces) if p.type in (kinds.CONTROL, kinds.UNKNOWN)}
         self.longest = max(map(len, self.id))
-        self.tree: dict = {}
-        for piece, i in self.id.items():
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.pair_ids: dict[int, bool] = {}
         self.raw = [b"" if i in self.control else bytes([self.value[i]]) if i in self.value else name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
         self.least = min(self.score.values(), default=0.0) - 10.0
         # a piece may hold a space only at its start, or consist of spaces: then words can be split off in front of one
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}  # words of late, and those before them
-        self.older: dict[str, list[int]] = {}
-        del sentencepiece
+        self.words = Memo(lambda word: [i for part in self.stream(word) for i in self.ids_of(part)], 2 * self.longest)
+
+    @cached_property
+    def tree(self) -> dict:
+        """Pieces by their characters; a node that ends a piece holds it under ''."""
+        out: dict = {}
+        for piece in self.id:
+            node = out
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
+        return out
 
     # -- BPE compatibility of two neighbours
 
@@ -95,99 +121,72 @@ class Codec:
         return parts
 
     def fits(self, left: str, right: str) -> bool:
+        """left is '' at the text's start and behind a character without a piece, which parts what is around it."""
         k = (left, right)
         ok = self.pairs.get(k)
         if ok is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[k] = self.merged(left + right) == [left, right] if left else self.merged(right) == [right]
+            ok = self.pairs[k] = self.merged(left + right) == ([left, right] if left else [right])
         return ok
 
     # -- the lattice
 
-    def stream(self, text: str, chunk: int = 1):
-        """Yields lists of pieces as they are committed. text has its spaces replaced already."""
-        best: dict[int, float] = {0: 0.0}
-        last: dict[int, str] = {0: ""}
-        done, n, longest, known = 0, len(text), self.longest, self.id
-        for end in range(1, n + 1):
-            found = None
-            for start in range(max(done, end - longest), end):
-                if start not in best:
-                    continue
-                piece = text[start:end]
-                if piece not in known and end - start > 1:
-                    continue
-                if self.bpe:
-                    if not self.fits(last[start], piece):
-                        continue
-                    score = best[start]
-                else:
-                    score = best[start] + self.score.get(piece, self.least)
-                if found is None or score > found[0]:
-                    found = (score, piece)
-            if found is not None:
-                best[end], last[end] = found
-            if (end - done >= 2 * longest or end == n) and (cut := self._boundary(last, done, end, n)) > done:
-                out, at = [], cut
-                while at > done:
-                    out.append(last[at])
-                    at -= len(last[at])
-                yield out[::-1]
-                for k in range(done, cut):
-                    best.pop(k, None)
-                    last.pop(k, None)
-                done = cut
-                base = best[cut]
-                best = {k: v - base for k, v in best.items()}
-
-    def short(self, text: str) -> list[int]:
-        """Ids of the same path for a text that fits the window of a BPE model, so that it is committed at its end
-        only. Steps go forward from each reached position along a tree of pieces; the first edge found to a position
-        is the only one. A character without a piece is an edge of its own, which parts what stands around it."""
-        n, size, pairs, root = len(text), len(self.names), self.pair_ids, self.tree
-        last: list[int | None] = [size] + [None] * n
-        back = [0] * (n + 1)
-        for start in range(n):
+    def stream(self, text: str):
+        """Yields lists of pieces as they are committed. text has its spaces replaced already. Positions count from
+        the last boundary, so state is as long as the window."""
+        root, bpe, longest, n = self.tree, self.bpe, self.longest, len(text)
+        done = 0  # the boundary in the text
+        last: list[str | None] = [""] + [None] * longest  # best last piece of each open position
+        best, alone = [0.0] * (longest + 1), [True] + [False] * longest  # its score; whether what stands before it parts
+        start = 0
+        while done + start < n:
             left = last[start]
-            if left is None:
-                continue
-            node, key = root, left * size
-            for end in range(start, n):
-                node = node.get(text[end])
-                if node is None:
-                    break
-                i = node.get("")
-                if i is not None and last[end + 1] is None:
-                    ok = pairs.get(key + i)
-                    if ok or ok is None and self.fits_id(left, i):
-                        last[end + 1], back[end + 1] = i, start
-            if last[start + 1] is None and "" not in root.get(text[start], ()):
-                last[start + 1], back[start + 1] = size, start
-        out: list[int] = []
-        while n:
-            out[:0] = [last[n]] if last[n] < size else self.ids_of([text[back[n] : n]])
-            n = back[n]
-        return out
-
-    def fits_id(self, left: int, right: int) -> bool:
-        """fits() for ids; an id of len(names) stands for the text's start or a character without a piece."""
-        if len(self.pair_ids) >= PAIRS:
-            self.pair_ids.clear()
-        a, b = self.names[left] if left < len(self.names) else "", self.names[right]
-        ok = self.pair_ids[left * len(self.names) + right] = self.merged(a + b) == ([a, b] if a else [b])
-        return ok
-
-    def _boundary(self, last: dict[int, str], done: int, end: int, n: int) -> int:
-        """The rightmost boundary that the paths of all open positions share."""
-        if end == n:
-            return n
-        heads = {k for k in range(max(done, end - self.longest + 1), end + 1) if k in last}
+            if left is not None:
+                if len(last) <= start + longest:
+                    more = start + longest + 1 - len(last)
+                    last += [None] * more
+                    best += [0.0] * more
+                    alone += [False] * more
+                node, own, score = root, "" if alone[start] else left, best[start]
+                at = done + start
+                for end in range(at, n):
+                    node = node.get(text[end])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is None:
+                        continue
+                    k = end + 1 - done
+                    if bpe:
+                        if last[k] is None and self.fits(own, piece):
+                            last[k] = piece
+                    elif last[k] is None or score + self.score[piece] > best[k]:
+                        last[k], best[k], alone[k] = piece, score + self.score[piece], False
+                k = start + 1
+                if "" not in root.get(text[at], ()) and (last[k] is None or not bpe and score + self.least > best[k]):
+                    last[k], best[k], alone[k] = text[at], score + self.least, True
+            start += 1
+            if start >= 2 * longest or done + start >= n:
+                cut = start if done + start >= n else self.boundary(last, start)
+                if cut:
+                    out, at = [], cut
+                    while at:
+                        out.append(last[at])
+                        at -= len(last[at])
+                    yield out[::-1]
+                    done, start = done + cut, start - cut
+                    base = best[cut]
+                    last, best, alone = last[cut:], [x - base for x in best[cut:]], alone[cut:]
+
+    @staticmethod
+    def boundary(last: list[str | None], start: int) -> int:
+        """The rightmost boundary that the paths of all open positions share: those reached from `start` on."""
+        heads = {k for k in range(start, len(last)) if last[k] is not None}
         while len(heads) > 1:
             top = max(heads)
             heads.remove(top)
-            if top > done:
-                heads.add(top - len(last[top]))
+            heads.add(top - len(last[top]))
         return heads.pop()
 
     def ids_of(self, pieces: list[str]) -> list[int]:
@@ -201,30 +200,17 @@ class Codec:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The ids as 32-bit numbers, little end first."""
         if not text:
-            return []
+            return b""
         text = (SPACE + text).replace(" ", SPACE)
-        words = self.words
         if not self.splits:
-            return [i for part in self.stream(text) for i in self.ids_of(part)]
-        out: list[int] = []
-        for word in WORD.findall(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.older.get(word)
-                if ids is None:
-                    if self.bpe and len(word) <= 2 * self.longest:
-                        ids = self.short(word)
-                    else:
-                        ids = [i for part in self.stream(word) for i in self.ids_of(part)]
-                if len(word) <= 2 * self.longest:
-                    if len(words) >= MEMO:
-                        self.older, self.words = words, {}
-                        words = self.words
-                    words[word] = ids
-            out += ids
-        return out
+            return b"".join(np.array(self.ids_of(part), "<i4").tobytes() for part in self.stream(text))
+        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -241,6 +227,12 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
+def id_lists(raw: list[bytes]) -> pa.Array:
+    """Lists of ids from their bytes."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) a row."""
 
@@ -248,11 +240,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         c = codec(model)
         for batch in batches:
             for part in steps(batch, 1, 1 << 20):
-                ids = [np.array(c.encode(t), np.int32) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+                raw = [c.encode_bytes(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), id_lists(raw)], names=["id", "ids"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, f"id {dict(given.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
+    return in_arrow(given, run, f"id {dict(given.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -267,7 +259,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     given = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return given.mapInArrow(run, f"id {dict(given.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
+    return in_arrow(given, run, f"id {dict(given.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,14 +270,14 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         c = codec(model)
         for batch in batches:
             for part in steps(batch, 1, 1 << 20):
-                ids = [c.encode(t) for t in part.column(1).to_pylist()]
-                raw = [np.array(x, "<i4") for x in ids]
-                same = [c.decode(x) == (t or "") for x, t in zip(ids, part.column(1).to_pylist(), strict=True)]
-                digest = [hashlib.sha256(x.tobytes()).hexdigest() for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=["id", "ids", "n_ids", "ids_sha256", "restored"])
+                texts = part.column(1).to_pylist()
+                raw = [c.encode_bytes(t) for t in texts]
+                same = [c.decode(np.frombuffer(x, "<i4").tolist()) == (t or "") for x, t in zip(raw, texts, strict=True)]
+                digest = [hashlib.sha256(x).hexdigest() for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), id_lists(raw), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=["id", "ids", "n_ids", "ids_sha256", "restored"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, f"id {dict(given.dtypes)['id']}, ids array<int>, n_ids bigint, ids_sha256 string, restored boolean").withColumnRenamed("id", id_col)
+    return in_arrow(given, run, f"id {dict(given.dtypes)['id']}, ids array<int>, n_ids bigint, ids_sha256 string, restored boolean").withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
