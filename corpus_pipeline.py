@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, language_id, minhash, pii, sentencepiece_codec
-from folioflow.llm.common import documents, small_batches
+from folioflow.llm.common import documents, fresh, small_batches
 from folioflow.sources.shared import written
 
 #: A language is rejected when it is unknown or less probable than this.
@@ -25,8 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of a known language stay, as they are."""
     small_batches(spark)
     keep = tuple(c for c in docs.columns if c != "doc_id")
-    judged = language_id.predict(docs, language_id.train(docs), keep=keep, out=("_stage_lang", "_stage_score"))
-    good = (F.col("_stage_lang") != language_id.UNKNOWN) & (F.col("_stage_score") >= MIN_LANGUAGE_SCORE)
+    lang, score = fresh(docs.columns, "stage_lang", "stage_score")
+    judged = language_id.predict(docs, language_id.train(docs), keep=keep, out=(lang, score))
+    good = (F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)
     return judged.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -40,20 +41,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share 10 words in a row, or a whole shorter item, with the benchmark go. The operator doesn't
-    judge rows without an id, so a digest of the text stands in for it."""
+    """Documents that share 10 words in a row, or a whole shorter item, with the benchmark go. Rows are judged by their
+    own texts: an id of one text may be repeated with another, and a digest stands in for one that is missing."""
     small_batches(spark)
-    named = docs.withColumn("_stage_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))))
-    bad = decontaminate.decontaminate(named, documents(spark, sf_dir, "benchmark"), id_col="_stage_id").filter("contaminated").select("_stage_id").distinct()
-    return named.join(bad, "_stage_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = fresh(docs.columns, "stage_id")
+    named = docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))).otherwise(F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))))
+    bad = decontaminate.decontaminate(named, documents(spark, sf_dir, "benchmark"), id_col=name).filter("contaminated").select(name).distinct()
+    return named.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the new text. Every document stays."""
     found = pii.find_pii(docs, carry=True)
-    clean = F.when(F.size("spans") == 0, F.col("_row.text")).otherwise(pii.redact(F.col("text"), F.col("spans")))
-    out = found.select("_row", clean.alias("_clean"))
-    new = {"text": F.col("_clean"), "n_chars": F.when(F.col("_clean").eqNullSafe(F.col("_row.text")), F.col("_row.n_chars")).otherwise(F.length("_clean").cast("bigint")) if "n_chars" in docs.columns else None}
+    clean = F.when(F.col("_none"), F.lit(None).cast("string")).otherwise(pii.redact(F.col("text"), F.col("spans")))
+    out = found.select("_row", (F.size("spans") > 0).alias("_changed"), clean.alias("_clean"))
+    new = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_changed"), F.length("_clean").cast("bigint")).otherwise(F.col("_row.n_chars"))
     return out.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import math
+import random
 
 import duckdb
 import pytest
@@ -35,6 +37,28 @@ def test_pieces_of_driver_rows(spark):
     for r in sentencepiece_codec.query(spark, SF).collect():
         ids = sp.encode(texts[r.doc_id])
         assert r.restored and r.n_ids == len(ids)
+    got = sentencepiece_codec.encode(spark.read.parquet(f"{SF}/documents.parquet"), corpus_pipeline.TOKENIZER).collect()
+    assert all(r.ids == sp.encode(texts[r.doc_id]) for r in got) and len(got) == len(texts)
+    assert sentencepiece_codec.query(spark, SF).limit(0).count() == 0 and sentencepiece_codec.encode(frame(spark, []), corpus_pipeline.TOKENIZER).count() == 0
+
+
+def test_the_stream_gives_the_ids_without_words(monkeypatch):
+    """The window over whole texts, the words and their memo, and the library agree; also with a memo of a few words."""
+    r = random.Random(7)
+    sp = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.TOKENIZER)
+    c = sentencepiece_codec.Codec(corpus_pipeline.TOKENIZER)
+    texts = ["".join(r.choice("abcde  ABé\u00df\n\t\u65e5\u672c\U0001f600\u258119.,") for _ in range(r.randint(1, 300))) for _ in range(60)] + [" ", "a" * 2000, "internationalization" * 30, "\u65e5\u672c\u8a9e" * 100]
+    whole = [[i for part in c.stream((sentencepiece_codec.SPACE + t).replace(" ", sentencepiece_codec.SPACE)) for i in c.ids_of(part)] for t in texts]
+    assert whole == [sp.encode(t) for t in texts] == [c.encode(t) for t in texts]
+    monkeypatch.setattr(sentencepiece_codec, "MEMO", 3)
+    small = sentencepiece_codec.Codec(corpus_pipeline.TOKENIZER)
+    assert [small.encode(t) for t in texts] == whole and len(small.words) <= 3
+
+
+def test_a_very_long_text_streams_with_a_bounded_window():
+    c = sentencepiece_codec.codec(corpus_pipeline.TOKENIZER)
+    longest = max(len("".join(part)) for part in c.stream("x1y" * 30000))
+    assert longest <= 3 * c.longest
 
 
 def test_stream_commits_within_a_window():
@@ -66,6 +90,24 @@ def test_token_counts_brute(spark):
     assert token_counts.token_counts(frame(spark, []), path).count() == 0
 
 
+def test_token_counts_where_a_task_writes_several_files(spark):
+    path = f"{token_counts.TOKENIZERS}/{token_counts.VOCABULARY}"
+    enc = token_counts.encoding(path)
+    rows = [(i, f"{'word ' * (i % 7)}{i}") for i in range(40)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        got = token_counts.token_counts(frame(spark, rows).repartition(2), path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len(enc.encode_ordinary(t))) for i, t in rows]
+
+
+def test_token_counts_of_driver_rows(spark):
+    enc = token_counts.encoding(f"{token_counts.TOKENIZERS}/{token_counts.VOCABULARY}")
+    want = sorted((r.doc_id, len(enc.encode_ordinary(r.text))) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert sorted(tuple(r) for r in token_counts.query(spark, SF).collect()) == want
+
+
 def test_stitching(spark):
     import numpy as np
 
@@ -194,17 +236,53 @@ def test_rare_language_is_sampled_and_predicted(spark):
     assert taken == language_id.quotas(counts, 120) and sum(taken.values()) == 120 and taken["rare"] == min(12, counts["rare"])
 
 
-def test_languages_left_out_are_reported(spark, monkeypatch):
+def test_all_languages_are_learned(spark, monkeypatch):
+    d = uneven(spark, 2, 30, "rare", 8)
+    assert language_id.train(d)["languages"] == ["l0", "l1", "rare"]
     monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
-    with pytest.warns(UserWarning, match="1 languages of"):
-        model = language_id.train(uneven(spark, 2, 30, "rare", 8))
-    assert model["languages"] == ["l0", "l1"] and model["left_out"][0] == 1 and 0 < model["left_out"][1] <= 8
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.train(d)
+
+
+def plain_scores(text, model):
+    """Probabilities of one text from a dict of its n-grams."""
+    t, counts = f"\n{text.lower()}\n", {}
+    for n in language_id.ORDERS:
+        for i in range(len(t) - n + 1):
+            h = 0
+            for c in t[i : i + n]:
+                h = (h + ord(c) + 1) * 0x9E3779B1 % (1 << 32)
+                h ^= h >> 15
+            b = (h * 0x85EBCA6B % (1 << 32)) >> 16
+            counts[b] = counts.get(b, 0) + 1
+    tf = sum(c * float(model["idf"][b]) for b, c in counts.items())
+    s = [sum(c * float(model["weights"][b, j]) for b, c in counts.items()) * language_id.SCALE / tf / model["temperature"] for j in range(len(model["languages"]))]
+    e = [math.exp(x - max(s)) for x in s]
+    return [x / sum(e) for x in e]
+
+
+@pytest.mark.parametrize("chunk", [language_id.CHUNK, 50])
+def test_language_scores_brute_and_in_any_partitions(spark, monkeypatch, chunk):
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = language_id.train(d)
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    texts = {r.doc_id: r.text for r in d.collect()} | {900: "A", 901: "ab", 902: "İıß ß", 903: "x" * 400}
+    frames = [(i, t, "x", "y", 1) for i, t in texts.items()]
+    d = spark.createDataFrame(frames, "doc_id long, text string, lang_pred string, score string, _text int")
+    runs = [{r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(d.repartition(n), model).collect()} for n in (1, 4, 16)]
+    assert runs[0] == runs[1] == runs[2]
+    got = language_id.scores(list(texts.values()), model)
+    for i, (k, t) in enumerate(texts.items()):
+        want = plain_scores(t, model)
+        assert max(abs(a - b) for a, b in zip(got[i], want, strict=True)) < 1e-6
+        assert runs[0][k][0] == model["languages"][max(range(len(want)), key=want.__getitem__)]
+    assert got.shape[0] == len(texts) and language_id.scores(["x" * 400], model)[0].tolist() == got[-1].tolist()
 
 
 def test_document_frequencies_brute(spark):
     texts = ["Ab a", None, "", "ab"]
     total, df = language_id.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
-    want = sum(set(language_id.grams([t])[0].tolist()).__len__() for t in texts if t is not None)
+    want = sum(len({x for b, _ in language_id.grams([t]) for x in b.tolist()}) for t in texts if t is not None)
     assert total == 3 and df.sum() == want
 
 
@@ -247,6 +325,21 @@ def test_pipeline_keeps_clean_rows_without_an_id(spark):
     assert twice.columns == d.columns and sorted(r.extra for r in twice.collect()) == [1, 2, 4, 5, 8, 9]
 
 
+def test_pipeline_with_clashing_names_nulls_and_empty_tables(spark):
+    """Extra columns under names that operators use, NULLs in any column, and no rows at all."""
+    extra = "_text string, stage_lang string, stage_score int, stage_id int, id int, kept int, spans int, _row int, _none int, hub int, k int, component_id int"
+    names = [x.split()[0] for x in extra.split(", ")]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *("x" if " string" in x else 1 for x in extra.split(", "))) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    rows += [(None, rows[0][1], None, None, None, *[None] * len(names)), (7001, None, None, None, None, *[None] * len(names))]
+    d = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for docs in (d, d.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == d.columns
+            docs = spark.createDataFrame(docs.collect(), d.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
     assert minhash.HASHES == 128
