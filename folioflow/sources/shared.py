@@ -1,6 +1,7 @@
 """Tables written to the folder that all executors share.
 
-The folder is the one named in spark.checkpoint.dir. Where the session has none (tests), one is made and set.
+The folder is the one named in spark.checkpoint.dir. Where a local session has none (tests), one is made and set; on a
+cluster that would be a folder of one machine, so there it is an error.
 Reading a written table cuts the lineage: a lost executor costs no more than its running tasks.
 """
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
