@@ -37,11 +37,7 @@ def data_url(png: Column) -> Column:
 def iso_utc(ts: Column) -> Column:
     """FN-18. Like Python's isoformat(): no fraction when the microseconds are 0. The session is in UTC."""
     ts = ts.cast("timestamp")
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(F.unix_micros(ts) % 1_000_000 == 0, F.lit("")).otherwise(F.date_format(ts, ".SSSSSS")),
-        F.date_format(ts, "xxx"),
-    )
+    return F.replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"), F.lit(".000000"), F.lit(""))
 
 
 def to_json_full(c: Column) -> Column:

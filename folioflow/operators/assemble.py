@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
-from folioflow.functions.text import join_nonempty, py_strip
+from folioflow.functions.text import elapsed_ms, join_nonempty, py_strip
 from folioflow.settings import Settings
 
 
@@ -33,12 +33,15 @@ def gather(page_texts: DataFrame, documents: DataFrame | None = None) -> DataFra
     """One row a document: (task_id, pages array<struct<page_index, page_text>>, error, raw_text).
 
     With `documents`, those without pages stay, with an empty array (E8). error is the first page's that failed
-    (E2). NULL text counts as ''. A document's pages meet in one row, as its result is one row by contract.
+    (E2). NULL text counts as ''. A document's pages meet in one row, as its result is one row by contract. Pages
+    with elapsed_s, of a timed recognizer, give elapsed_ms (FN-10, UDF-5).
     """
+    timed = "elapsed_s" in page_texts.columns
     text = F.coalesce(F.col("page_text"), F.lit(""))
     rows = page_texts.groupBy("task_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("page_index") >= 0, F.struct("page_index", text.alias("page_text"))))).alias("pages"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page_index"))).alias("error"),
+        *([elapsed_ms(F.sum("elapsed_s")).alias("elapsed_ms")] if timed else []),
     )
     if documents is not None:
         rows = documents.select(F.col("task_id").cast("string").alias("task_id")).join(rows, "task_id", "left")
@@ -98,4 +101,6 @@ def envelope(quality: DataFrame, settings: Settings, model_name: str = S.MODEL_N
 
 
 def assemble(page_texts: DataFrame, settings: Settings, documents: DataFrame | None = None, model_name: str = S.MODEL_NAME) -> DataFrame:
-    return envelope(with_quality(gather(page_texts, documents)), settings, model_name)
+    quality = with_quality(gather(page_texts, documents))
+    took = F.coalesce("elapsed_ms", F.lit(0.0)) if "elapsed_ms" in quality.columns else None
+    return envelope(quality, settings, model_name, took)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.schemas import PAGES
+from folioflow.schemas import PAGES, PDF_PACKAGE_ERROR
 from folioflow.settings import Settings
 
 Decoder = Callable[[bytes, Settings], Iterator[bytes]]
@@ -24,7 +24,7 @@ def decode_pdf(content: bytes, settings: Settings) -> Iterator[bytes]:
     try:
         import fitz
     except ImportError as e:
-        raise RuntimeError("PDF OCR with Qwen requires the 'pymupdf' package.") from e
+        raise RuntimeError(PDF_PACKAGE_ERROR) from e
     scale = settings.pdf_dpi / 72
     with fitz.open(stream=content, filetype="pdf") as pdf:
         for n in range(min(settings.max_pdf_pages, pdf.page_count)):

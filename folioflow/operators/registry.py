@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators.recognize import Recognizer
+from folioflow.schemas import UNKNOWN_MODEL_ERROR
 
 SCHEMA = "ordinal int, name string, loaded boolean, failure_reason string"
 
@@ -27,7 +28,7 @@ class Registry:
         for name in wished:
             make = self.factories.get(name)
             if make is None:
-                self.failed[name] = "Unknown model name or optional dependency missing"
+                self.failed[name] = UNKNOWN_MODEL_ERROR
                 continue
             try:
                 model = make()
@@ -67,6 +68,14 @@ class Registry:
         return spark.createDataFrame([(order.get(n), n, n in self.loaded, self.failed.get(n)) for n in names], SCHEMA)
 
 
+def load_summary(registry: DataFrame) -> DataFrame:
+    """AGG-8 on the table: how many models were requested, loaded and failed. One may be loaded now and have a reason
+    from before; it counts as loaded."""
+    asked = registry.filter("ordinal IS NOT NULL")
+    n = lambda c: F.count(F.when(c, 1)).alias
+    return asked.agg(F.count("*").alias("requested"), n(F.col("loaded"))("loaded"), n(~F.col("loaded"))("failed"))
+
+
 def active_model(registry: DataFrame) -> DataFrame:
     """JN-1, TOP-1: first loaded model in configured order; one row, NULL when there is none."""
     hit = F.col("loaded") & F.col("ordinal").isNotNull()

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import iso_utc, result_from_json
+from folioflow.operators import tasklog
 from folioflow.schemas import RESULT, STATUSES
 
 
@@ -27,6 +28,12 @@ def status_lookup(ids: DataFrame, latest: DataFrame) -> DataFrame:
     return out.withColumn("code", F.when(F.col("_hit"), 200).otherwise(404)).drop("_hit")
 
 
+def lookup_log(ids: DataFrame, log: DataFrame) -> DataFrame:
+    """The same from the log: only rows of the asked ids are aggregated, and a request's ids are few."""
+    asked = ids.select("task_id").distinct()
+    return status_lookup(ids, tasklog.latest(log.join(asked, "task_id", "left_semi")))
+
+
 def status_counts(rows: DataFrame) -> DataFrame:
     """AGG-1, JN-3: counts by status; known ones without tasks get 0, unknown ones stay."""
     domain = rows.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")

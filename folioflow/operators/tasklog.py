@@ -67,6 +67,12 @@ def updated(current: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def restamped(current: DataFrame, now: Column) -> DataFrame:
+    """STR-6: a task that is taken up (again) is processing, without result and error."""
+    none = F.lit(None).cast("string")
+    return updated(current, current.select("task_id", F.lit("processing").alias("status"), none.alias("result_json"), none.alias("error")), now)
+
+
 def finished(results: DataFrame) -> DataFrame:
     """(task_id, result, error) to changes: failed with an error and no result, or completed (E1: an error of '' fails too)."""
     bad = F.col("error").isNotNull()

@@ -101,6 +101,14 @@ def recognize_stub(spark, sf_dir):
     return q.select("task_id", "page_count", "line_count", "char_count", "status")
 
 
+def recognize_whole(spark, sf_dir):
+    """UDF-1 over all lines of each document: content that isn't a PDF has no page cap (E9)."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("task_id"), F.encode("text", "utf-8").alias("content"))
+    texts = recognize.recognize(pages.explode_pages(d, SETTINGS, image=pages.decode_lines, pages_per_batch=2000), recognize.StubRecognizer())
+    q = assemble.with_quality(assemble.gather(texts))
+    return q.select("task_id", "page_count", "line_count", "char_count", "status")
+
+
 def admission_gate(spark, sf_dir):
     """FLT-1, FLT-2, precedence; a small cap so that some are too large, content types by doc_id."""
     kinds = F.array(*[F.lit(x) for x in (*SETTINGS.allowed_types, "text/plain")])
@@ -153,8 +161,9 @@ def restart_recovery(spark, sf_dir):
 
 
 def json_path(spark, sf_dir):
-    reply = F.concat(F.lit('{"choices":[{"message":{"content":" k='), F.get_json_object("props", "$.k"), F.lit(' "}}]}'))
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), chat_content(reply).alias("content"))
+    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    reply = F.concat(F.lit('{"choices":[{"message":{"content":" k='), "k", F.lit(' "}}]}'))
+    return e.select("event_id", F.col("k").cast("int").alias("k"), chat_content(reply).alias("content"))
 
 
 def registry_table(spark):
@@ -165,7 +174,7 @@ def status_lookup(spark, sf_dir):
     """Ids from the table's ends and one that isn't there."""
     e = table(spark, sf_dir, "events")
     ids = e.agg(F.min("user_id").alias("a"), F.max("user_id").alias("b")).select(F.explode(F.array(*[F.col(x).cast("string") for x in "ab"], (F.col("b") + 1).cast("string"))).alias("task_id"))
-    return serving.status_lookup(ids, tasklog.latest(task_log(spark, sf_dir))).select("task_id", "code", "status")
+    return serving.lookup_log(ids, task_log(spark, sf_dir)).select("task_id", "code", "status")
 
 
 def queue_semi_filter(spark, sf_dir):
@@ -188,11 +197,71 @@ def backlog(spark, sf_dir):
 
 
 def health_snapshot(spark, sf_dir):
-    h = serving.health(task_log(spark, sf_dir), registry_table(spark), True, 0, "log")
+    h = serving.health(tasklog.latest(task_log(spark, sf_dir)), registry_table(spark), True, 0, "log")
     counts = F.col("database.task_counts")
     return h.select("status", "api", "model_loaded", F.array_join("loaded_models", ",").alias("loaded_models"), "worker_running", F.col("queue_size").cast("bigint").alias("queue_size"), *[F.element_at(counts, s).alias(f"n_{s}") for s in ("processing", "completed", "failed")])
 
 
+def status_domain(spark, sf_dir):
+    """FLT-8: states pass the check of the domain."""
+    return table(spark, sf_dir, "events").select("event_id", tasklog.checked(state()).alias("status"))
+
+
+def model_gate(spark, sf_dir):
+    """FLT-11, FLT-1, FLT-2 in one: every other upload meets a service without a model."""
+    kinds = F.array(*[F.lit(x) for x in (*SETTINGS.allowed_types, "text/plain")])
+    d = table(spark, sf_dir, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % 6).cast("int")).alias("kind"), (F.octet_length("text").cast("bigint") * 1000).alias("size"))
+    code = admission.rejection_code(F.col("kind"), F.col("size"), F.col("doc_id") % 2 == 0, SETTINGS)
+    detail = admission.rejection_detail(code, F.col("kind"), F.lit("alpha: boom"), SETTINGS)
+    return d.select("doc_id", code.alias("reject_code"), detail.alias("reject_detail"))
+
+
+def created_tasks(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("task_id"), F.concat(F.lit("f"), "doc_id").alias("filename"))
+    return tasklog.created(d, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+
+
+def tasks_created(spark, sf_dir):
+    """SNK-2."""
+    return created_tasks(spark, sf_dir).select("task_id", "seq", "filename", "status", "result_json", "error", iso_utc(F.col("created_at")).alias("created_at"))
+
+
+def submit_responses(spark, sf_dir):
+    """SNK-5."""
+    return serving.submit_response(created_tasks(spark, sf_dir))
+
+
+def status_responses(spark, sf_dir):
+    """SNK-6, PRJ-1: the latest state of each task as it is answered, with the result parsed."""
+    r = serving.status_response(tasklog.latest(task_log(spark, sf_dir)), "k int")
+    return r.select("task_id", "status", "filename", F.col("result.k").alias("k"), "error", "created_at", "updated_at")
+
+
+def load_summary(spark, sf_dir):
+    """AGG-8."""
+    return registry.load_summary(registry_table(spark))
+
+
+def task_restamp(spark, sf_dir):
+    """STR-6: every task is taken up again."""
+    rows = tasklog.restamped(tasklog.latest(task_log(spark, sf_dir)), F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    return rows.select("task_id", "seq", "filename", "status", "result_json", "error", iso_utc(F.col("updated_at")).alias("updated_at"))
+
+
+def stream_stop_resume(spark, sf_dir):
+    """STR-5: a stream that ends and is started again counts what came in between, and nothing twice."""
+    from folioflow.sources.shared import new_path, remove, written
+
+    base, folder = new_path(spark, "resumed"), new_path(spark, "events")
+    batch = table(spark, sf_dir, "events")
+    for part in (batch.filter("event_id % 2 = 0"), batch.filter("event_id % 2 <> 0")):
+        part.write.mode("append").parquet(folder)
+        worker.stream_status_counts(spark, folder, batch.schema, state(), f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    out = written(spark.read.parquet(f"{base}/out").groupBy("status").agg(F.sum("n").alias("n")), "stream_counts")
+    remove(spark, folder, base)
+    return out
+
+
 def stream_task_counts(spark, sf_dir):
     """STR-1..6: the events as a stream of one pass, counted by state."""
     from folioflow.sources.shared import new_path, remove
@@ -215,6 +284,15 @@ QUERIES = {
     "page_explode": page_explode,
     "page_generator": page_generator,
     "recognize_stub": recognize_stub,
+    "recognize_whole": recognize_whole,
+    "status_domain": status_domain,
+    "model_gate": model_gate,
+    "tasks_created": tasks_created,
+    "submit_responses": submit_responses,
+    "status_responses": status_responses,
+    "load_summary": load_summary,
+    "task_restamp": task_restamp,
+    "stream_stop_resume": stream_stop_resume,
     "admission_gate": admission_gate,
     "magic_sniff": magic_sniff,
     "strip_parity": strip_parity,
@@ -243,6 +321,18 @@ ORACLES = {
     "page_explode": "SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS page_index, unnest(x) AS page_text FROM (SELECT doc_id, string_split(text, chr(10))[1:20] x FROM documents)",
     "page_generator": "SELECT CAST(doc_id AS VARCHAR) AS task_id, CAST(unnest(range(len(x))) AS INTEGER) AS page_index, strlen(unnest(x)) AS n_bytes FROM (SELECT doc_id, string_split(text, chr(10)) x FROM documents)",
     "recognize_stub": QUALITY_SQL.format(pages=f"(SELECT CAST(doc_id AS VARCHAR) task_id, unnest(range(len(x))) turn, trim(unnest(x), {STRIP_SQL}) t FROM (SELECT doc_id, string_split(text, chr(10))[1:20] x FROM documents))").replace(", CASE WHEN s='' THEN 'no_text_detected' ELSE '' END AS warnings", "").replace(",\n CASE WHEN s='' THEN 'no_text_detected' ELSE '' END AS warnings", ""),
+    "recognize_whole": QUALITY_SQL.format(pages=f"(SELECT CAST(doc_id AS VARCHAR) task_id, unnest(range(len(x))) turn, trim(unnest(x), {STRIP_SQL}) t FROM (SELECT doc_id, string_split(text, chr(10)) x FROM documents))").replace(",\n CASE WHEN s='' THEN 'no_text_detected' ELSE '' END AS warnings", ""),
+    "status_domain": f"SELECT event_id, {STATUS_SQL} AS status FROM events",
+    "model_gate": f"""SELECT doc_id, c AS reject_code, CASE c WHEN 503 THEN 'No configured OCR model is loaded at startup. Startup error: alpha: boom' WHEN 415 THEN 'Unsupported file type: '||k||'. Allowed: [''image/jpeg'', ''image/png'', ''image/webp'', ''image/tiff'', ''application/pdf'']'
+ WHEN 413 THEN 'File exceeds 20MB limit' END AS reject_detail FROM (SELECT doc_id, k, CASE WHEN doc_id%2<>0 THEN 503 WHEN k='text/plain' THEN 415 WHEN n*1000>{SETTINGS.max_bytes} THEN 413 END c
+ FROM (SELECT doc_id, ['image/jpeg','image/png','image/webp','image/tiff','application/pdf','text/plain'][doc_id%6+1] k, strlen(text) n FROM documents))""",
+    "tasks_created": "SELECT CAST(doc_id AS VARCHAR) AS task_id, CAST(0 AS BIGINT) AS seq, 'f'||doc_id AS filename, 'processing' AS status, CAST(NULL AS VARCHAR) AS result_json, CAST(NULL AS VARCHAR) AS error, '2025-01-01T00:00:00+00:00' AS created_at FROM documents",
+    "submit_responses": "SELECT CAST(doc_id AS VARCHAR) AS task_id, 'processing' AS status, 'f'||doc_id AS filename FROM documents",
+    "status_responses": f"""SELECT CAST(user_id AS VARCHAR) AS task_id, {STATUS_SQL} AS status, 'f'||user_id AS filename, CASE WHEN event_type='purchase' THEN CAST(json_extract(props,'$.k') AS INTEGER) END AS k,
+ CASE WHEN event_type='error' THEN 'boom' END AS error, {ISO_SQL.format(t='ts')} AS created_at, {ISO_SQL.format(t='ts')} AS updated_at FROM {LATEST_SQL}""",
+    "load_summary": f"SELECT count(*) AS requested, count(*) FILTER (WHERE loaded) AS loaded, count(*) FILTER (WHERE NOT loaded) AS failed FROM {REGISTRY_SQL} WHERE ordinal IS NOT NULL",
+    "task_restamp": f"SELECT CAST(user_id AS VARCHAR) AS task_id, seq+1 AS seq, 'f'||user_id AS filename, 'processing' AS status, CAST(NULL AS VARCHAR) AS result_json, CAST(NULL AS VARCHAR) AS error, '2025-01-01T00:00:00+00:00' AS updated_at FROM {LATEST_SQL}",
+    "stream_stop_resume": f"SELECT {STATUS_SQL} AS status, count(*) AS n FROM events GROUP BY 1",
     "admission_gate": f"""SELECT doc_id, k AS content_type, n AS size_bytes, CASE WHEN k='text/plain' THEN 415 WHEN n*1000>{SETTINGS.max_bytes} THEN 413 END AS reject_code
  FROM (SELECT doc_id, ['image/jpeg','image/png','image/webp','image/tiff','application/pdf','text/plain'][doc_id%6+1] k, strlen(text) n FROM documents)""",
     "magic_sniff": "SELECT doc_id, starts_with(CASE doc_id%3 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN ' %PDF' ELSE '' END||text, '%PDF') AS is_pdf FROM documents",
@@ -264,6 +354,6 @@ ORACLES = {
     "queue_semi_filter": "SELECT doc_id AS task_id FROM documents SEMI JOIN events ON doc_id=user_id",
     "backlog": f"SELECT count(*) AS queue_size FROM {LATEST_SQL} WHERE {STATUS_SQL}='processing'",
     "health_snapshot": f"""SELECT 'healthy' AS status, 'ok' AS api, true AS model_loaded, 'beta,delta,gamma' AS loaded_models, true AS worker_running, CAST(0 AS BIGINT) AS queue_size,
- count(*) FILTER (WHERE s='processing') AS n_processing, count(*) FILTER (WHERE s='completed') AS n_completed, count(*) FILTER (WHERE s='failed') AS n_failed FROM (SELECT {STATUS_SQL} s FROM events)""",
+ count(*) FILTER (WHERE s='processing') AS n_processing, count(*) FILTER (WHERE s='completed') AS n_completed, count(*) FILTER (WHERE s='failed') AS n_failed FROM (SELECT {STATUS_SQL} s FROM {LATEST_SQL})""",
     "stream_task_counts": f"SELECT {STATUS_SQL} AS status, count(*) AS n FROM events GROUP BY 1",
 }

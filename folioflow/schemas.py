@@ -13,6 +13,11 @@ REMOTE_PIPELINE = "vLLM OpenAI-compatible API"
 LOCAL_PIPELINE = "AutoModelForImageTextToText"
 MODEL_NAME = "qwen_ocr"
 PROVIDERS = ("vllm", "transformers")
+UNREACHABLE_ERROR = "Could not reach vLLM at {url}. Start it first, for example: `vllm serve {model} --host 0.0.0.0 --port 8000`."
+PROVIDER_ERROR = "QWEN_OCR_PROVIDER must be either 'vllm' or 'transformers'."
+PDF_PACKAGE_ERROR = "PDF OCR with Qwen requires the 'pymupdf' package."
+UNKNOWN_MODEL_ERROR = "Unknown model name or optional dependency missing"
+# End of the fixed values.
 
 UPLOADS = T.StructType(
     [
@@ -26,6 +31,10 @@ UPLOADS = T.StructType(
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 PAGES = "task_id string, page_index int, image binary, error string"
 PAGE_TEXTS = "task_id string, page_index int, page_text string, error string"
+REJECTS = (
+    "upload_id string, filename string, content_type string, size_bytes bigint, reject_code int, reject_detail string, "
+    "rejected_at timestamp"
+)
 TASK_LOG = (
     "task_id string, seq bigint, filename string, status string, result_json string, error string, "
     "created_at timestamp, updated_at timestamp"

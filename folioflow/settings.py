@@ -16,6 +16,17 @@ DEFAULT_PROMPT = (
 ALLOWED_TYPES = ("image/jpeg", "image/png", "image/webp", "image/tiff", "application/pdf")
 
 
+#: Names of settings in the environment and in .env; also a field's own name in capitals.
+ENV_NAMES = {
+    "provider": "QWEN_OCR_PROVIDER", "model_id": "QWEN_OCR_MODEL_ID", "base_url": "QWEN_OCR_VLLM_BASE_URL", "api_key": "QWEN_OCR_VLLM_API_KEY",
+    "timeout_s": "QWEN_OCR_VLLM_TIMEOUT", "device_map": "QWEN_OCR_DEVICE_MAP", "torch_dtype": "QWEN_OCR_TORCH_DTYPE",
+    "max_new_tokens": "QWEN_OCR_MAX_NEW_TOKENS", "pdf_dpi": "QWEN_OCR_PDF_DPI", "max_pdf_pages": "QWEN_OCR_MAX_PDF_PAGES",
+    "low_cpu_mem_usage": "QWEN_OCR_LOW_CPU_MEM_USAGE", "offload_buffers": "QWEN_OCR_OFFLOAD_BUFFERS", "offload_folder": "QWEN_OCR_OFFLOAD_FOLDER",
+    "prompt": "QWEN_OCR_PROMPT", "allowed_types": "ALLOWED_IMAGE_TYPES", "task_log_path": "OCR_TASK_DB_PATH",
+}
+# End of the fixed values.
+
+
 @dataclass(frozen=True)
 class Settings:
     enabled_models: tuple[str, ...] = ("qwen_ocr",)
@@ -43,12 +54,15 @@ class Settings:
 
     @classmethod
     def load(cls, env: Mapping[str, str] | None = None, env_file: str | Path | None = None) -> Settings:
-        """Empty values count as unset and unknown names are ignored; the environment wins over the file."""
+        """Empty values count as unset and unknown names are ignored; the environment wins over the file, and a name of
+        ENV_NAMES over the bare one. Without arguments the file is .env beside the package."""
+        if env is None and env_file is None:
+            env_file = Path(__file__).resolve().parents[1] / ".env"
         found = dict(_read_env_file(env_file)) if env_file else {}
         found |= {k.upper(): v for k, v in (os.environ if env is None else env).items() if v != ""}
         values = {}
         for f in fields(cls):
-            raw = found.get(f.name.upper(), "")
+            raw = found.get(ENV_NAMES.get(f.name), "") or found.get(f.name.upper(), "")
             if raw != "":
                 values[f.name] = _parse(raw, getattr(cls, f.name))
         return cls(**values)

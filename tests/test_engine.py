@@ -336,6 +336,74 @@ def test_worker(spark, tmp_path):
     assert text_of(spark, str(folder / "b.tiff"), CFG, recognize.StubRecognizer(fail_on="boom"), pdf=fake_pdf, image=fake_image) == ""
 
 
+def test_worker_keeps_rejects_and_times(spark, tmp_path):
+    up = spark.createDataFrame([("1", "a.png", "image/png", bytearray(b"x|y")), ("2", "b.txt", "text/plain", bytearray(b"x")), ("3", "c", None, None)], S.UPLOADS)
+    log = str(tmp_path / "log")
+    tasklog.initialize(spark, log)
+    r = registry.Registry({"stub": recognize.StubRecognizer}, ["stub"])
+    worker.process_batch(up, log, r, CFG, pdf=fake_pdf, image=fake_image)  # nothing is loaded yet
+    refused = {x.upload_id: x for x in spark.read.schema(S.REJECTS).parquet(worker.rejects_path(log)).collect()}
+    assert {x.reject_code for x in refused.values()} == {503} and len(refused) == 3 and tasklog.read_log(spark, log).count() == 0
+    r.initialize()
+    worker.process_batch(up, log, r, CFG, pdf=fake_pdf, image=fake_image)
+    refused = [x for x in spark.read.schema(S.REJECTS).parquet(worker.rejects_path(log)).collect() if x.reject_code == 415]
+    assert sorted(x.upload_id for x in refused) == ["2", "3"] and refused[0].size_bytes in (0, 1) and refused[0].rejected_at is not None
+    done = tasklog.latest(tasklog.read_log(spark, log)).collect()
+    assert [x.status for x in done] == ["completed"] and json.loads(done[0].result_json)["res"]["inference_time_ms"] >= 0
+
+
+def test_elapsed_time_is_of_all_pages(spark):
+    t = spark.createDataFrame([("a", 0, "x", None, 0.25), ("a", 1, "y", None, 0.5), ("b", 0, "z", None, None)], S.PAGE_TEXTS + ", elapsed_s double")
+    got = {x.task_id: x.result.res.inference_time_ms for x in assemble.assemble(t, CFG).collect()}
+    assert got == {"a": 750.0, "b": 0.0}
+
+
+def test_second_start_gives_the_running_worker(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    r = registry.Registry({"stub": recognize.StubRecognizer}, ["stub"])
+    r.initialize()
+    start = lambda: worker.start_worker(spark, str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "cp"), r, CFG)
+    q = start()
+    try:
+        assert start().id == q.id and q.isActive
+    finally:
+        q.stop()
+
+
+def test_local_recognizer_travels_as_its_settings(monkeypatch):
+    import pickle
+    import sys
+    import types
+
+    made, calls = [], []
+
+    def pipeline(task, **options):
+        made.append((task, options))
+        return lambda **given: calls.append(given) or [{"generated_text": " text "}]
+
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(pipeline=pipeline))
+    picture = types.ModuleType("PIL")
+    picture.Image = types.SimpleNamespace(open=lambda b: b.read())
+    monkeypatch.setitem(sys.modules, "PIL", picture)
+    cfg = Settings(provider="transformers", model_id="tests/model")
+    local = recognize.make_recognizer(cfg)
+    local.load()
+    again = pickle.loads(pickle.dumps(local))
+    assert again == local and [again.read(b"a"), local.read(b"b")] == ["text", "text"] and len(made) == 1
+    assert made[0][0] == "image-text-to-text" and made[0][1]["model"] == "tests/model" and made[0][1]["model_kwargs"]["offload_folder"] == "data/qwen_offload"
+    parts = calls[0]["text"][0]["content"]
+    assert [p["type"] for p in parts] == ["image", "text"] and parts[0]["image"] == b"a" and calls[0]["generate_kwargs"]["do_sample"] is False
+    local.unload()
+    assert cfg not in recognize._IN_PROCESS
+
+
+def test_settings_by_their_documented_names(tmp_path):
+    env = tmp_path / ".env"
+    env.write_text("QWEN_OCR_PROVIDER=transformers\nQWEN_OCR_PDF_DPI=100\nALLOWED_IMAGE_TYPES=[\"image/png\"]\n")
+    s = Settings.load({"QWEN_OCR_VLLM_TIMEOUT": "7", "PDF_DPI": "50", "QWEN_OCR_PROMPT": ""}, env)
+    assert (s.provider, s.pdf_dpi, s.timeout_s, s.allowed_types, s.prompt) == ("transformers", 100, 7.0, ("image/png",), CFG.prompt)
+
+
 def test_worker_without_model(spark, tmp_path):
     up = spark.createDataFrame([("1", "a.png", "image/png", bytearray(b"x"))], S.UPLOADS)
     log = str(tmp_path / "log")
