@@ -36,9 +36,10 @@ from folioflow.llm.common import documents, in_arrow, steps
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMO = 250_000
+MEMO = 400_000
 PAIRS = 400_000
 UNIGRAM, BPE = 1, 2
+NOTHING = (None, {})
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -90,24 +91,39 @@ class Codec:
         self.least = min(self.score.values(), default=0.0) - 10.0
         # a piece may hold a space only at its start, or consist of spaces: then words can be split off in front of one
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = Memo(lambda word: [i for part in self.stream(word) for i in self.ids_of(part)], 2 * self.longest)
+        self.pairs: dict[int, bool] = {}
+        self.words = Memo(self.ids, 2 * self.longest)
 
     @cached_property
     def tree(self) -> dict:
-        """Pieces by their characters; a node that ends a piece holds it under ''."""
+        """Pieces by their characters: each leads to (the id of the piece that ends here or None, what may follow)."""
         out: dict = {}
-        for piece in self.id:
+        for piece, i in self.id.items():
             node = out
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
+            for c in piece[:-1]:
+                node = node.setdefault(c, [None, {}])[1]
+            node.setdefault(piece[-1], [None, {}])[0] = i
+        return out
+
+    @cached_property
+    def none(self) -> int:
+        """An id that no piece has: for the text's start and for a character without a piece, which parts what is
+        around it."""
+        return max(self.id.values()) + 1
+
+    @cached_property
+    def scores(self) -> list[float]:
+        """By id; a character without a piece comes last."""
+        out = [self.least] * (self.none + 1)
+        for piece, i in self.id.items():
+            out[i] = self.score[piece]
         return out
 
     # -- BPE compatibility of two neighbours
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short text: the pair of the best score merges first, the leftmost of equals."""
+    def merged(self, text: str, cut: int = 0) -> list[str] | None:
+        """BPE of a short text: the pair of the best score merges first, the leftmost of equals. None as soon as a
+        merge crosses the place `cut`, if one is given."""
         parts, score = list(text), self.score
         while len(parts) > 1:
             best, at = None, -1
@@ -117,87 +133,125 @@ class Codec:
                     best, at = s, i
             if best is None:
                 break
+            if at == cut - 1:
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if at < cut:
+                cut -= 1
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """left is '' at the text's start and behind a character without a piece, which parts what is around it."""
-        k = (left, right)
-        ok = self.pairs.get(k)
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[k] = self.merged(left + right) == ([left, right] if left else [right])
+    def fits(self, left: int, right: int) -> bool:
+        """Whether BPE parts the joined text of two pieces, by their ids, into these two."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        a, b = "" if left == self.none else self.names[left], self.names[right]
+        ok = self.pairs[left * self.none + right] = self.merged(a + b, len(a)) == ([a, b] if a else [b])
         return ok
 
     # -- the lattice
 
     def stream(self, text: str):
-        """Yields lists of pieces as they are committed. text has its spaces replaced already. Positions count from
-        the last boundary, so state is as long as the window."""
-        root, bpe, longest, n = self.tree, self.bpe, self.longest, len(text)
-        done = 0  # the boundary in the text
-        last: list[str | None] = [""] + [None] * longest  # best last piece of each open position
-        best, alone = [0.0] * (longest + 1), [True] + [False] * longest  # its score; whether what stands before it parts
-        start = 0
-        while done + start < n:
+        """Yields lists of pieces as they are committed."""
+        for part in self.walk(text):
+            yield [text[a:b] for a, b, _ in part]
+
+    def walk(self, text: str):
+        """Yields lists of (begin, end, id) of pieces as they are committed; the id is `none` for a character without
+        a piece. text has its spaces replaced already. Positions count from the last boundary, so state is as long as
+        the window."""
+        n, none, longest, bpe = len(text), self.none, self.longest, self.bpe
+        edges = self.bpe_edges if bpe else self.unigram_edges
+        window = min(n, 2 * longest)
+        length = min(window + longest, n) + 1
+        last: list[int | None] = [none] + [None] * length  # id of the best last piece of each open position
+        back = [0] * (length + 1)  # where it begins
+        best = [0.0] * (0 if bpe else length + 1)  # its path's score
+        done = start = 0  # the boundary in the text; the position to go on from
+        while done < n:
+            stop = max(start, min(window, n - done))
+            edges(text, done, start, stop, last, back, best)
+            start = stop
+            cut = stop if done + stop >= n else self.boundary(last, back, start)
+            if not cut:  # all paths are still apart: the window grows
+                window += longest
+                last += [None] * longest
+                back += [0] * longest
+                best += [0.0] * (0 if bpe else longest)
+                continue
+            out, at = [], cut
+            while at:
+                out.append((done + back[at], done + at, last[at]))
+                at = back[at]
+            out.reverse()
+            yield out
+            if done + cut == n:
+                return
+            done, start, window = done + cut, start - cut, 2 * longest
+            last, back = last[cut:] + [None] * cut, [x - cut for x in back[cut:]] + [0] * cut
+            if not bpe:
+                best = [x - best[cut] for x in best[cut:]] + [0.0] * cut
+
+    def bpe_edges(self, text: str, done: int, start: int, stop: int, last: list, back: list, best: list) -> None:
+        """Edges from the positions start to stop; the first that fits is the only one to a position."""
+        none, root, known, longest = self.none, self.tree, self.pairs.get, self.longest
+        for start in range(start, stop):
             left = last[start]
-            if left is not None:
-                if len(last) <= start + longest:
-                    more = start + longest + 1 - len(last)
-                    last += [None] * more
-                    best += [0.0] * more
-                    alone += [False] * more
-                node, own, score = root, "" if alone[start] else left, best[start]
-                at = done + start
-                for end in range(at, n):
-                    node = node.get(text[end])
-                    if node is None:
-                        break
-                    piece = node.get("")
-                    if piece is None:
-                        continue
-                    k = end + 1 - done
-                    if bpe:
-                        if last[k] is None and self.fits(own, piece):
-                            last[k] = piece
-                    elif last[k] is None or score + self.score[piece] > best[k]:
-                        last[k], best[k], alone[k] = piece, score + self.score[piece], False
-                k = start + 1
-                if "" not in root.get(text[at], ()) and (last[k] is None or not bpe and score + self.least > best[k]):
-                    last[k], best[k], alone[k] = text[at], score + self.least, True
-            start += 1
-            if start >= 2 * longest or done + start >= n:
-                cut = start if done + start >= n else self.boundary(last, start)
-                if cut:
-                    out, at = [], cut
-                    while at:
-                        out.append(last[at])
-                        at -= len(last[at])
-                    yield out[::-1]
-                    done, start = done + cut, start - cut
-                    base = best[cut]
-                    last, best, alone = last[cut:], [x - base for x in best[cut:]], alone[cut:]
+            if left is None:
+                continue
+            kids, key, k = root, left * none, start
+            for c in text[done + start : done + start + longest]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                k += 1
+                i, kids = node
+                if i is not None and last[k] is None:
+                    ok = known(key + i)
+                    if ok or ok is None and self.fits(left, i):
+                        last[k], back[k] = i, start
+            if last[start + 1] is None and root.get(text[done + start], NOTHING)[0] is None:
+                last[start + 1], back[start + 1] = none, start
+
+    def unigram_edges(self, text: str, done: int, start: int, stop: int, last: list, back: list, best: list) -> None:
+        """Edges from the positions start to stop; the best sum of scores stays."""
+        root, scores, none = self.tree, self.scores, self.none
+        for start in range(start, stop):
+            if last[start] is None:
+                continue
+            kids, k = root, start
+            for c in text[done + start : done + start + self.longest]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                k += 1
+                i, kids = node
+                if i is not None and (last[k] is None or best[start] + scores[i] > best[k]):
+                    last[k], back[k], best[k] = i, start, best[start] + scores[i]
+            k = start + 1
+            if root.get(text[done + start], NOTHING)[0] is None and (last[k] is None or best[start] + scores[none] > best[k]):
+                last[k], back[k], best[k] = none, start, best[start] + scores[none]
 
     @staticmethod
-    def boundary(last: list[str | None], start: int) -> int:
+    def boundary(last: list[int | None], back: list[int], start: int) -> int:
         """The rightmost boundary that the paths of all open positions share: those reached from `start` on."""
         heads = {k for k in range(start, len(last)) if last[k] is not None}
         while len(heads) > 1:
             top = max(heads)
             heads.remove(top)
-            heads.add(top - len(last[top]))
+            heads.add(back[top])
         return heads.pop()
 
-    def ids_of(self, pieces: list[str]) -> list[int]:
-        out = []
-        for p in pieces:
-            if p in self.id:
-                out.append(self.id[p])
-            elif self.byte:
-                out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
+    def ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        none = self.none
+        for part in self.walk(text):
+            for a, b, i in part:
+                if i != none:
+                    out.append(i)
+                elif self.byte:
+                    out += [self.byte[x] for x in text[a:b].encode("utf-8", "surrogatepass")]
+                else:
+                    out.append(self.unknown)
         return out
 
     def encode_bytes(self, text: str | None) -> bytes:
@@ -206,7 +260,7 @@ class Codec:
             return b""
         text = (SPACE + text).replace(" ", SPACE)
         if not self.splits:
-            return b"".join(np.array(self.ids_of(part), "<i4").tobytes() for part in self.stream(text))
+            return np.array(self.ids(text), "<i4").tobytes()
         return b"".join(map(self.words.__getitem__, WORD.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
