@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents
-from folioflow.sources.shared import new_path, written
+from folioflow.llm.common import documents, in_arrow
+from folioflow.sources.shared import new_path, remove, written
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
@@ -42,16 +42,16 @@ CAPTURE = (
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, refers_to). Digests are counted before the join, so a
-    payload that a third of the rows share is one row on the joined side."""
+    """(page_id, url, html, payload_bytes, payload_digest, refers_to, refers_url). Digests are counted before the
+    join, so a payload that a third of the rows share is one row on the joined side."""
     html = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     p = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"))
     p = p.withColumns({"payload_bytes": F.octet_length("html").cast("bigint"), "payload_digest": F.sha1(F.col("html").cast("binary"))})
-    large = p.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    large = written(large.filter("n > 1").select("payload_digest", "last"), "revisited")
+    large = p.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("x"), F.count("*").alias("n"))
+    large = written(large.filter("n > 1 AND x.page_id IS NOT NULL").select("payload_digest", F.col("x.page_id").alias("last"), F.col("x.url").alias("last_url")), "revisited")
     p = p.join(large, "payload_digest", "left")
     other = (F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("page_id") != F.col("last"))
-    return p.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(other, F.col("last")).alias("refers_to"))
+    return p.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(other, F.col("last")).alias("refers_to"), F.when(other, F.col("last_url")).alias("refers_url"))
 
 
 def uuid_of(*parts) -> Column:
@@ -80,7 +80,7 @@ def records(pages: DataFrame) -> DataFrame:
     digest = F.concat(F.lit("sha1:"), "payload_digest")
     common = [("WARC-Payload-Digest", digest), ("X-Page-ID", page), ("Content-Type", F.lit("application/http;msgtype=response"))]
     response = record("response", F.col("cid"), F.col("url"), F.concat(http, "html"), common)
-    revisit = record("revisit", F.col("cid"), F.col("url"), http, [*common, ("WARC-Profile", F.lit(PROFILE)), ("X-Refers-To-Page-ID", F.col("refers_to").cast("string"))])
+    revisit = record("revisit", F.col("cid"), F.col("url"), http, [*common, ("WARC-Profile", F.lit(PROFILE)), ("X-Refers-To-Page-ID", F.col("refers_to").cast("string")), ("WARC-Refers-To-Target-URI", F.regexp_replace("refers_url", "[\r\n]", "")), ("WARC-Refers-To-Date", F.lit(DATE))])
     asked = F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
     request = record("request", uuid_of(F.lit("request"), F.col("cid")), F.col("url"), asked, [("WARC-Concurrent-To", F.col("cid")), ("X-Page-ID", page), ("Content-Type", F.lit("application/http;msgtype=request"))])
     fields = F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(f"{CRLF}payload-sha1: "), "payload_digest", F.lit(CRLF))
@@ -98,22 +98,33 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
 # ---- reading ----
 
 
+def inflated(data: bytes, chunk: int = 1 << 16) -> bytes:
+    """All members of a gzip file, in time linear in it. One that is cut off is an error."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            if at >= len(data):
+                raise ValueError("the archive is cut off")
+            out.append(d.decompress(view[at : at + chunk]))
+            at += len(view[at : at + chunk])
+        at -= len(d.unused_data)
+    return b"".join(out)
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
     """(headers, block) of the records of one archive, plain or gzip with one or more members."""
     if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(out)
+        data = inflated(data)
     view, at = memoryview(data), 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if not data.startswith(b"WARC/", at) or end < 0:
             raise ValueError(f"no record at byte {at}")
         lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        head: dict[str, str] = {}
+        for k, _, v in (x.partition(":") for x in lines):
+            head.setdefault(k.strip().lower(), v.strip())  # of a repeated name, such as concurrent-to, the first
         start = end + 4
         at = start + int(head["content-length"])
         yield head, view[start:at]
@@ -164,7 +175,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True, rows
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return in_arrow(spark.read.format("binaryFile").load(path).select("content"), run, RECORD)
 
 
 def assemble(recs: DataFrame) -> DataFrame:
@@ -186,7 +197,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     write_archives(judged(documents(spark, sf_dir, "pages")), path)
     c = captures(spark, path, with_payload=False)
     size = F.coalesce("response.payload_bytes", "metadata.payload_bytes")
-    return c.select("page_id", size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").cast("bigint").alias("refers_to"))
+    out = written(c.select("page_id", size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").cast("bigint").alias("refers_to")), "captures")
+    remove(spark, path)
+    return out
 
 
 SQL = """
