@@ -2,7 +2,8 @@
 
 Host labels are names run together; a unigram Viterbi splits them into words. Word counts come from all pages' texts;
 the words kept are those with a share of MIN_SHARE or more of all words, so there are at most 1 / MIN_SHARE of them,
-whatever the input's size. A multinomial naive Bayes over words of host and path, hashed into BUCKETS, is counted on
+whatever the input's size. Shares are of all words, kept or not; a rarer word, or one of over MAX_WORD letters, has the
+probability of an unknown one. A multinomial naive Bayes over words of host and path, hashed into BUCKETS, is counted on
 all URLs that a rule decides, and judges the others.
 
 Defined cases: a NULL url, or one without '://', has an empty host and path; no rule fits it. Where nothing is
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents
-from folioflow.sources.shared import written
+from folioflow.llm.common import documents, in_arrow
+from folioflow.sources.shared import remove, written
 
 # Rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -52,20 +53,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+class Counts(dict):
+    """Counts of the words that are kept, and `total` of all words."""
+
+    total = 0
+
+
 def word_counts(pages: DataFrame, text_col: str = "html", min_share: float = MIN_SHARE) -> dict[str, int]:
     """Frequent words of all pages' texts: at most 1 / min_share of them come to the driver."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<[^>]*+>", " "))
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9])[a-z]{{1,{MAX_WORD}}}+(?![a-z0-9])"), F.lit(0))).alias("word"))
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9])[a-z]++(?![a-z0-9])"), F.lit(0))).alias("word"))
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word_counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r.word: r.n for r in counts.filter(F.col("n") >= max(1.0, min_share * total)).collect()}
+    out = Counts((r.word, r.n) for r in counts.filter((F.col("n") >= max(1.0, min_share * total)) & (F.length("word") <= MAX_WORD)).collect())
+    out.total = total
+    remove(pages.sparkSession, counts)
+    return out
 
 
 class Segmenter:
     """Unigram Viterbi. An unknown word of n letters has a probability that falls by a factor of 10 a letter."""
 
     def __init__(self, counts: dict[str, int]):
-        self.total = max(sum(counts.values()), 1)
+        self.total = max(getattr(counts, "total", 0) or sum(counts.values()), 1)
         self.log = {w: math.log(n / self.total) for w, n in counts.items()}
         self.unknown = [math.log(10.0 / self.total) - n * math.log(10.0) for n in range(MAX_WORD + 1)]
         self.split = lru_cache(1 << 14)(self._split)
@@ -110,7 +120,7 @@ def class_counts(decided: DataFrame, counts: dict[str, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(n[b, k], pa.int64())], names=["b", "k", "n"])
 
     out = np.zeros((BUCKETS + 1, 2), np.int64)
-    for r in decided.mapInArrow(run, "b bigint, k bigint, n bigint").groupBy("b", "k").agg(F.sum("n").alias("n")).collect():
+    for r in in_arrow(decided, run, "b bigint, k bigint, n bigint").groupBy("b", "k").agg(F.sum("n").alias("n")).collect():
         out[r.b, r.k] = r.n
     return out
 
@@ -143,7 +153,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     kind = dict(p.dtypes)["id"]
     given = p.select("id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
-    out = given.mapInArrow(run, f"id {kind}, host string, path string, rule string, ruled string, block_odds double")
+    out = in_arrow(given, run, f"id {kind}, host string, path string, rule string, ruled string, block_odds double")
     method = F.when(F.col("block_odds") > 0, F.lit("block")).otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "block_odds")
 
