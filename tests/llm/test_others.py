@@ -48,7 +48,7 @@ def test_the_stream_gives_the_ids_without_words(monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.TOKENIZER)
     c = sentencepiece_codec.Codec(corpus_pipeline.TOKENIZER)
     texts = ["".join(r.choice("abcde  ABé\u00df\n\t\u65e5\u672c\U0001f600\u258119.,") for _ in range(r.randint(1, 300))) for _ in range(60)] + [" ", "a" * 2000, "internationalization" * 30, "\u65e5\u672c\u8a9e" * 100]
-    whole = [[i for part in c.stream((sentencepiece_codec.SPACE + t).replace(" ", sentencepiece_codec.SPACE)) for i in c.ids_of(part)] for t in texts]
+    whole = [c.ids((sentencepiece_codec.SPACE + t).replace(" ", sentencepiece_codec.SPACE)) for t in texts]
     assert whole == [sp.encode(t) for t in texts] == [c.encode(t) for t in texts]
     monkeypatch.setattr(sentencepiece_codec, "MEMO", 3)
     small = sentencepiece_codec.Codec(corpus_pipeline.TOKENIZER)
@@ -141,6 +141,13 @@ def test_warc_cases(spark):
     assert by[1].request.path == "/x?q=1" and all(r.request is not None and r.metadata is not None for r in got)
     assert [r.response.type for r in got if r.page_id in (7, None)] == ["response"] * 3
     assert warc.judged(pages.limit(0)).count() == 0
+    raw = [h for row in spark.read.format("binaryFile").load(path).collect() for h, _ in warc.parsed(bytes(row.content))]
+    assert {h["warc-refers-to-target-uri"] for h in raw if h["warc-type"] == "revisit"} == {"http://c.org/2", "u"}
+    import os
+
+    empty = new_path(spark, "warc_none")
+    os.makedirs(empty.removeprefix("file://"))
+    assert warc.captures(spark, empty).count() == 0
 
 
 def test_warc_parser_reads_members_and_reports_damage():
@@ -148,6 +155,10 @@ def test_warc_parser_reads_members_and_reports_damage():
     assert [bytes(b) for _, b in warc.parsed(gzip.compress(one) + gzip.compress(one))] == [b"abc", b"abc"]
     with pytest.raises(ValueError):
         list(warc.parsed(one[:-2]))
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parsed(gzip.compress(one * 50)[:-9]))
+    members = b"".join(gzip.compress(one) for _ in range(3000))
+    assert sum(1 for _ in warc.parsed(members)) == 3000 and warc.inflated(members, 100) == one * 3000
 
 
 URLS = ["http://a.net/x", "http://NET/", "http://a.net", "https://sub.example.net/en/1", "http://example.net/english", "http://x.example.com/de/", "http://badexample.com/de/", "http://z.org/fr/1?x#y", "http://org/fr", "a://b://c/d", "nothing", "", None, "http://h?q/x", "http://h#f", "http://shopnews.example.com/en/1", "http://a.net/x"]
