@@ -5,9 +5,9 @@ documents stand in for uploads, conversations for documents with pages, events f
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioflow.functions.text import WHITESPACE, base64_plain, chat_content, data_url, is_pdf, iso_utc, py_strip, to_json_full
 from folioflow.operators import admission, assemble, pages, recognize, registry, serving, tasklog
@@ -26,8 +26,16 @@ def state():
     return F.expr(STATUS_SQL)
 
 
+#: Schemas of tables read before, as a catalogue keeps them: (application, path). Spark starts a job to infer one.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    key = spark.sparkContext.applicationId, path
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def page_texts(spark, sf_dir) -> DataFrame:
