@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
 columns of documents. The decisions need more than SQL, so there is no ORACLE_SQL; tests compare with brute force.
 Rows without a doc_id stay unless their text is rejected: near-duplicate removal keeps them all, as its operator does,
-and decontamination judges them by their text. Extra columns are carried.
+and decontamination judges them by their text. Extra columns are carried, whatever their names. run() removes the table
+of a stage once the next one is written; the last one's input stays, as its result is read from it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, language_id, minhash, pii, sentencepiece_codec
 from folioflow.llm.common import documents, fresh, small_batches
-from folioflow.sources.shared import written
+from folioflow.sources.shared import remove, written
 
 #: A language is rejected when it is unknown or less probable than this.
 MIN_LANGUAGE_SCORE = 0.5
@@ -77,7 +78,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+        if before is not None:
+            remove(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -405,6 +405,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.select("key", "rep", "id").join(labels, "id", "left").select("key", "rep", F.coalesce("component", "id").alias("part"))
     names = written(of_class.groupBy("part").agg(F.min("rep").alias("c")), "names")
     own = written(of_class.join(names, "part").select("key", "c"), "components")
+    remove(spark, classes, names)
     out = sketch.select("id", "n_shingles", "key").join(own, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
